@@ -1 +1,15 @@
-"""matchloom"""
+"""matchloom: fuzzy record linkage on Spark DataFrames."""
+
+from matchloom.config import ScanConfig, apply_mappings, scan_prefix, validate_config
+from matchloom.plans.jobs import dedupe, map_to_master, resume, review
+
+__all__ = [
+    "ScanConfig",
+    "apply_mappings",
+    "dedupe",
+    "map_to_master",
+    "resume",
+    "review",
+    "scan_prefix",
+    "validate_config",
+]

@@ -110,17 +110,14 @@ def token_sort_form(c: Column) -> Column:
 def char_wb_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams inside words padded by one space on each side."""
 
+    def of_size(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        grams = F.transform(starts, lambda i: F.substr(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+
     def grams_of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        per_n = [
-            F.when(
-                size >= n,
-                F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.substr(padded, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*per_n)
+        return F.concat(*[of_size(padded, n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words(c), grams_of))
 
