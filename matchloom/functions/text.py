@@ -123,7 +123,7 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
 
 
 def round_score(c: Column) -> Column:
-    """A score of 0..100 to one decimal, decided on the exact binary value, ties to even.
+    """A score of 1..100 to one decimal, decided on the exact binary value, ties to even.
 
     Scaling by 2^52 is exact, so tenths and the rest are whole numbers: no decimal text is involved.
     """
