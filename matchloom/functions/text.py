@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What counts as white space at the ends of a text, and the deleted punctuation.
+# White space at the ends of a text and between words, deleted punctuation, n-gram sizes.
 STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 SPLIT_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 DELETED_PATTERN = "[.,-]"
+NGRAM_SIZES = (2, 3, 4)
 MISSING_TEXT = "nan"
 ABSENT_TEXT = "—"
 DISPLAY_SEPARATOR = " | "
@@ -107,7 +108,7 @@ def token_sort_form(c: Column) -> Column:
     return F.array_join(F.array_sort(words(c)), " ")
 
 
-def char_wb_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
+def char_wb_ngrams(c: Column) -> Column:
     """Character n-grams inside words padded by one space on each side."""
 
     def of_size(padded: Column, n: int) -> Column:
@@ -117,7 +118,7 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
 
     def grams_of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.concat(*[of_size(padded, n) for n in range(low, high + 1)])
+        return F.concat(*[of_size(padded, n) for n in NGRAM_SIZES])
 
     return F.flatten(F.transform(words(c), grams_of))
 

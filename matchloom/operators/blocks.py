@@ -46,7 +46,7 @@ class Shape:
     longer_first: bool = False  # signature route: the longer text is on the left
 
 
-Scorer = Callable[[pa.Table, "Groups", Shape], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+Scorer = Callable[[pa.Table, "Groups", "Best"], None]
 
 
 class Groups:
@@ -102,26 +102,78 @@ def best_per_item(a, b, raw, shape: Shape):
     starts = np.flatnonzero(np.concatenate(([True], np.diff(a) != 0))) if len(a) else np.array([], np.int64)
     rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(a)]))))
     keep = rank < shape.k
-    return a[keep], b[keep], raw[keep]
+    return a[keep], b[keep], raw[keep], rank[keep]
+
+
+class Best:
+    """The best pairs of a block so far, and per item the score that a further pair must at least reach.
+
+    An item with k partners at or above a score can drop every pair that cannot get there. That keeps
+    dense blocks cheap without losing a result: ties stay in.
+    """
+
+    def __init__(self, table: pa.Table, shape: Shape):
+        self.shape = shape
+        self.pos = table["pos"].to_numpy()
+        items = self.pos[table["is_left"].to_numpy(zero_copy_only=False)] if shape.two_sided else self.pos
+        self.items = np.unique(items)
+        self.slot = np.minimum(np.searchsorted(self.items, self.pos), max(len(self.items) - 1, 0))
+        self.floor = np.full(len(self.items), -np.inf)
+        self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.waiting: list[tuple] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, raw: np.ndarray) -> None:
+        a, b = self.pos[i], self.pos[j]
+        if not self.shape.two_sided:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        self.waiting.append((a, b, raw))
+        self.size += len(a)
+        if self.size > max(50_000, len(self.kept[0])):
+            self.compact()
+
+    def compact(self) -> None:
+        if not self.waiting:
+            return
+        a, b, raw, rank = best_per_item(*[np.concatenate(c) for c in zip(self.kept, *self.waiting)], self.shape)
+        self.kept, self.waiting, self.size = (a, b, raw), [], 0
+        last = rank == self.shape.k - 1
+        slots = np.searchsorted(self.items, a[last])
+        self.floor[slots] = np.maximum(self.floor[slots], raw[last])
+
+    def pair_floor(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The floor of each pair's item; i and j broadcast."""
+        mine = self.floor[self.slot[i]]
+        if self.shape.two_sided:
+            return np.broadcast_to(mine, np.broadcast_shapes(i.shape, j.shape))
+        return np.where(self.pos[i] < self.pos[j], mine, self.floor[self.slot[j]])
+
+    def raise_floors(self, rows: np.ndarray, cols: np.ndarray, lower: np.ndarray, once: np.ndarray | None) -> None:
+        """Lower bounds of all scores of a rectangle already tell what k partners reach."""
+
+        def lift(slots: np.ndarray, bounds: np.ndarray) -> None:
+            if bounds.shape[1] >= self.shape.k:
+                at = bounds.shape[1] - self.shape.k
+                np.maximum.at(self.floor, slots, np.partition(bounds, at, axis=1)[:, at])
+
+        valid = lower if once is None else np.where(once, lower, -np.inf)
+        if self.shape.two_sided:
+            lift(self.slot[rows], valid)
+            return
+        first = self.pos[rows][:, None] < self.pos[cols][None, :]
+        if first.any():
+            lift(self.slot[rows], np.where(first, valid, -np.inf))
+        if not first.all():
+            lift(self.slot[cols], np.where(first, -np.inf, valid).T)
 
 
 def score_block(scorer: Scorer, shape: Shape) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        groups = Groups(table, shape)
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        waiting, size = [], 0
-        for i, j, raw in scorer(table, groups, shape):
-            a, b = groups.pos[i], groups.pos[j]
-            if not shape.two_sided:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            waiting.append((a, b, raw))
-            size += len(a)
-            if size > 1_000_000:
-                kept = best_per_item(*[np.concatenate(c) for c in zip(kept, *waiting)], shape)
-                waiting, size = [], 0
-        if waiting:
-            kept = best_per_item(*[np.concatenate(c) for c in zip(kept, *waiting)], shape)
-        return pa.table({"pos_a": kept[0], "pos_b": kept[1], "raw": kept[2]})
+        best = Best(table, shape)
+        scorer(table, Groups(table, shape), best)
+        best.compact()
+        a, b, raw = best.kept
+        return pa.table({"pos_a": a, "pos_b": b, "raw": raw})
 
     return run
 

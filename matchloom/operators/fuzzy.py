@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from matchloom.functions.lcs import Texts, flat_ranges, indel_score, lcs_length, lcs_lengths
 from matchloom.functions.text import token_sort_form
 from matchloom.operators import blocks
-from matchloom.operators.blocks import Groups, Shape
+from matchloom.operators.blocks import Best, Groups, Shape
 from matchloom.plans.scratch import materialise
 
 _RECT_LEFT, _RECT_RIGHT = 1024, 2048
 _SMALL_MEETING = 4096
 _PAIR_BATCH = 1 << 19
+_PAIR_ROUND = 1 << 17
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -74,12 +75,26 @@ def fuzzy_scorer(cutoff: int):
             raw = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / total) * 100.0)
         return i, j, raw
 
-    def small(texts: Texts, i: np.ndarray, j: np.ndarray):
-        short = np.minimum(texts.lengths[i], texts.lengths[j])
-        near = short >= need(texts.lengths[i] + texts.lengths[j])
-        return finish(texts, i[near], j[near])
+    def small(texts: Texts, best: Best, waiting: list):
+        if waiting:
+            i, j = (np.concatenate(c) for c in zip(*waiting))
+            short = np.minimum(texts.lengths[i], texts.lengths[j])
+            near = short >= need(texts.lengths[i] + texts.lengths[j])
+            best.add(*finish(texts, i[near], j[near]))
 
-    def score(table: pa.Table, groups: Groups, shape: Shape):
+    def large(texts: Texts, best: Best, i: np.ndarray, j: np.ndarray, overlap: np.ndarray):
+        """Most promising pairs first; what they yield rules out others before their LCS is taken."""
+        total = texts.lengths[i] + texts.lengths[j]
+        bound = np.where(total == 0, 100.0, (1.0 - (total - 2 * overlap) / np.maximum(total, 1)) * 100.0)
+        order = np.argsort((-bound * 10).astype(np.int16), kind="stable")
+        while len(order):
+            order = order[bound[order] >= best.pair_floor(i[order], j[order]) - 1e-6]
+            some, order = order[:_PAIR_ROUND], order[_PAIR_ROUND:]
+            best.add(*finish(texts, i[some], j[some]))
+            if len(order):
+                best.compact()
+
+    def score(table: pa.Table, groups: Groups, best: Best):
         texts = Texts(table["form"].to_pylist())
         bags = _Bags(texts)
         waiting, size = [], 0
@@ -93,7 +108,7 @@ def fuzzy_scorer(cutoff: int):
                 waiting.append((i, j))
                 size += len(i)
                 if size >= _PAIR_BATCH:
-                    yield small(texts, *[np.concatenate(c) for c in zip(*waiting)])
+                    small(texts, best, waiting)
                     waiting, size = [], 0
                 continue
             used = bags.present(left) & bags.present(right)
@@ -102,13 +117,13 @@ def fuzzy_scorer(cutoff: int):
                 if cached is None or cached[0] is not rows:
                     cached = (rows, bags.matrix(rows, used))
                 total = texts.lengths[rows][:, None] + texts.lengths[cols][None, :]
-                near = cached[1] @ bags.matrix(cols, used).T >= need(total)
+                overlap = cached[1] @ bags.matrix(cols, used).T
+                near = overlap >= need(total)
                 if once is not None:
                     near &= once
                 r, c = np.nonzero(near)
-                yield finish(texts, rows[r], cols[c])
-        if waiting:
-            yield small(texts, *[np.concatenate(c) for c in zip(*waiting)])
+                large(texts, best, rows[r], cols[c], overlap[r, c])
+        small(texts, best, waiting)
 
     return score
 

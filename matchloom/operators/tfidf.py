@@ -5,22 +5,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.lcs import flat_ranges
-from matchloom.functions.text import char_wb_ngrams
+from matchloom.functions.text import NGRAM_SIZES, SPLIT_PATTERN
 from matchloom.operators import blocks
-from matchloom.operators.blocks import Groups, Shape
+from matchloom.operators.blocks import Best, Groups, Shape
 from matchloom.plans.scratch import materialise
 
 # cosines are compared and ranked at this many decimals, so that summation order cannot decide
 COSINE_DECIMALS = 9
 _SQUARE = 1024
 _DENSE_COLUMNS = 4096
-_DENSE_SHARE = 0.01
-_SMALL_CELLS = 20_000_000
-_EXPANSION = 4_000_000
 _VOCABULARY_BROADCAST = 1_000_000
 _SALTS = 64
 
@@ -34,9 +31,20 @@ def idf_corpus(primary: DataFrame, master: DataFrame | None = None) -> DataFrame
 def term_counts(corpus: DataFrame) -> DataFrame:
     """``side, pos, gram, tf``. Keys are spread before they are taken apart, so grams need no shuffle."""
     n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    padded, at = F.col("padded"), F.col("at")
+
+    def gram(size: int) -> Column:
+        return F.when(at + (size - 1) <= F.length(padded), F.substr(padded, at, F.lit(size)))
+
+    # the same grams as char_wb_ngrams, as rows: exploding compiles, lambdas do not
     return (
         corpus.repartition(n, "side", "pos")
-        .select("side", "pos", F.explode(char_wb_ngrams(F.col("key"))).alias("gram"))
+        .select("side", "pos", F.explode(F.split("key", SPLIT_PATTERN)).alias("word"))
+        .filter("word <> ''")
+        .select("side", "pos", F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"))
+        .select("side", "pos", "padded", F.explode(F.sequence(F.lit(1), F.length("padded") - 1)).alias("at"))
+        .select("side", "pos", F.explode(F.array(*[gram(size) for size in NGRAM_SIZES])).alias("gram"))
+        .filter("gram IS NOT NULL")
         .groupBy("side", "pos", "gram")
         .agg(F.count("*").alias("tf"))
     )
@@ -48,10 +56,11 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def tfidf_weights(corpus: DataFrame) -> DataFrame:
-    """``side, pos, gram, tf, df, weight``: smoothed idf, unit length per key."""
+    """``side, pos, gram, gram_id, tf, df, weight``: smoothed idf, unit length per key."""
     n = corpus.count()
-    counts = term_counts(corpus)
-    vocabulary = materialise(document_frequency(counts), "vocabulary")
+    counts = materialise(term_counts(corpus), "term-counts")
+    numbered = document_frequency(counts).withColumn("gram_id", F.monotonically_increasing_id())
+    vocabulary = materialise(numbered, "vocabulary")
     if vocabulary.count() <= _VOCABULARY_BROADCAST:
         joined = counts.join(F.broadcast(vocabulary), "gram")
     else:
@@ -66,7 +75,7 @@ def tfidf_weights(corpus: DataFrame) -> DataFrame:
     return (
         joined.withColumn("raw", raw)
         .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("side", "pos"))))
-        .select("side", "pos", "gram", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+        .select("side", "pos", "gram", "gram_id", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
     )
 
 
@@ -76,33 +85,61 @@ def prefix_flag(weights: DataFrame, cutoff: int) -> DataFrame:
     If two keys share no flagged gram, all they share lies in a rest of norm < cutoff on one side, and
     so does their cosine.
     """
-    commonest_first = Window.partitionBy("side", "pos").orderBy(F.desc("df"), F.desc("gram"))
+    commonest_first = Window.partitionBy("side", "pos").orderBy(F.desc("df"), F.desc("gram_id"))
     rest = F.sum(F.col("weight") * F.col("weight")).over(commonest_first.rowsBetween(Window.unboundedPreceding, 0))
     return weights.withColumn("in_prefix", F.sqrt(rest) >= cutoff / 100 - 1e-9)
 
 
+def _packed(tables):
+    """Lists as raw bytes: Spark then moves each vector as one value instead of element by element."""
+
+    def bytes_of(column: pa.ChunkedArray) -> pa.Array:
+        lists = column.combine_chunks()
+        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int64) * 8
+        values = np.ascontiguousarray(lists.flatten().to_numpy())
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    for batch in tables:
+        table = pa.Table.from_batches([batch])
+        for name in ("ids", "weights"):
+            packed = bytes_of(table[name]).cast(pa.binary())
+            table = table.set_column(table.column_names.index(name), name, packed)
+        yield from table.to_batches()
+
+
 def vectors(weights: DataFrame) -> DataFrame:
-    """``side, pos, grams, weights``: one row per key, with ``prefix`` grams when they are flagged."""
-    parts = [F.collect_list(F.struct("gram", "weight")).alias("v")]
+    """``side, pos, size, ids, weights``: one row per key, with ``prefix`` ids when they are flagged."""
+    parts = [F.collect_list(F.struct("gram_id", "weight")).alias("v")]
     if "in_prefix" in weights.columns:
-        parts.append(F.collect_list(F.when(F.col("in_prefix"), F.col("gram"))).alias("prefix"))
+        parts.append(F.collect_list(F.when(F.col("in_prefix"), F.col("gram_id"))).alias("prefix"))
     out = weights.groupBy("side", "pos").agg(*parts)
     rest = [c for c in ("prefix",) if c in out.columns]
-    return out.select("side", "pos", F.col("v.gram").alias("grams"), F.col("v.weight").alias("weights"), *rest)
+    lists = out.select(
+        "side", "pos", F.size("v").alias("size"), F.col("v.gram_id").alias("ids"), F.col("v.weight").alias("weights"), *rest
+    )
+    schema = "side string, pos long, size int, ids binary, weights binary" + (", prefix array<long>" if rest else "")
+    return lists.mapInArrow(_packed, schema)
 
 
 # --- scoring inside a block -----------------------------------------------------------------------
 
 
+def _unpacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    packed = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    if not len(packed) or offsets[0] == offsets[-1]:
+        return np.empty(0, dtype)
+    return np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(dtype)
+
+
 class _Vectors:
     def __init__(self, table: pa.Table):
-        grams = table["grams"].combine_chunks()
-        self.sizes = pc.list_value_length(grams).to_numpy().astype(np.int64)
+        self.sizes = table["size"].to_numpy().astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
-        coded = pc.dictionary_encode(grams.flatten())
+        coded = pa.array(_unpacked(table["ids"], np.int64)).dictionary_encode()
         self.ids = coded.indices.to_numpy().astype(np.int64)
         self.width = len(coded.dictionary)
-        self.values = table["weights"].combine_chunks().flatten().to_numpy()
+        self.values = _unpacked(table["weights"], np.float64)
 
     def rows(self, rows: np.ndarray):
         sizes = self.sizes[rows]
@@ -125,70 +162,90 @@ def _localise(ga: np.ndarray, gb: np.ndarray, width: int):
     return out[0], out[1], len(common)
 
 
-def _products(vec: _Vectors, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Dot products of two sets of sparse vectors: frequent grams densely, rare ones by their occurrences."""
-    na, nb = len(rows), len(cols)
-    ra, ga, wa = vec.rows(rows)
-    rb, gb, wb = vec.rows(cols)
-    ga, gb, width = _localise(ga, gb, vec.width)
-    seen_a, seen_b = ga >= 0, gb >= 0
-    ra, ga, wa = ra[seen_a], ga[seen_a], wa[seen_a]
-    rb, gb, wb = rb[seen_b], gb[seen_b], wb[seen_b]
-    out = np.zeros((na, nb))
-    if not width:
-        return out
-    count_a, count_b = np.bincount(ga, minlength=width), np.bincount(gb, minlength=width)
-    if na * nb * width <= _SMALL_CELLS:
+class _Rectangle:
+    """Dot products of two sets of sparse vectors, in two steps.
+
+    The grams most pairs share go through one dense product. All weights are positive, so that part is a
+    lower bound, and adding the product of the two remaining norms gives an upper bound. Only pairs whose
+    upper bound matters get the rest added, gram by gram.
+    """
+
+    def __init__(self, vec: _Vectors, rows: np.ndarray, cols: np.ndarray):
+        self.na, self.nb = len(rows), len(cols)
+        ra, ga, wa = vec.rows(rows)
+        rb, gb, wb = vec.rows(cols)
+        ga, gb, width = _localise(ga, gb, vec.width)
+        (ra, ga, wa), (rb, gb, wb) = ((r[g >= 0], g[g >= 0], w[g >= 0]) for r, g, w in ((ra, ga, wa), (rb, gb, wb)))
         dense = np.ones(width, bool)
-    else:
-        dense = count_a * count_b > _DENSE_SHARE * na * nb
-    slot = np.where(dense, np.cumsum(dense) - 1, -1)
-    n_dense = int(dense.sum())
-    for at in range(0, n_dense, _DENSE_COLUMNS):
-        size = min(_DENSE_COLUMNS, n_dense - at)
-        left, right = np.zeros((na, size)), np.zeros((nb, size))
+        if width > _DENSE_COLUMNS:
+            met = np.bincount(ga, minlength=width) * np.bincount(gb, minlength=width)
+            dense[:] = False
+            dense[np.argpartition(met, width - _DENSE_COLUMNS)[width - _DENSE_COLUMNS :]] = True
+        slot = np.cumsum(dense) - 1
+        left, right = np.zeros((self.na, int(dense.sum()))), np.zeros((self.nb, int(dense.sum())))
         for r, g, w, into in ((ra, ga, wa, left), (rb, gb, wb, right)):
-            s = slot[g] - at
-            here = (s >= 0) & (s < size) & dense[g]
-            into[r[here], s[here]] = w[here]
-        out += left @ right.T
-    rare_a, rare_b = ~dense[ga], ~dense[gb]
-    if rare_a.any():
-        order_b = np.argsort(gb[rare_b], kind="stable")
-        rb, wb = rb[rare_b][order_b], wb[rare_b][order_b]
-        start_b = np.concatenate(([0], np.cumsum(np.where(dense, 0, count_b))))[:-1]
-        ra, ga, wa = ra[rare_a], ga[rare_a], wa[rare_a]
-        times = count_b[ga]
-        batch = np.cumsum(times) // _EXPANSION
-        for lo, hi in zip(*_runs(batch)):
-            t = times[lo:hi]
-            a = np.repeat(np.arange(lo, hi), t)
-            b = flat_ranges(start_b[ga[lo:hi]], t)
-            out += np.bincount(ra[a] * nb + rb[b], wa[a] * wb[b], minlength=na * nb).reshape(na, nb)
-    return out
-
-
-def _runs(values: np.ndarray):
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1, [len(values)]))
-    return edges[:-1], edges[1:]
+            into[r[dense[g]], slot[g[dense[g]]]] = w[dense[g]]
+        self.lower = left @ right.T
+        self.rest = not dense.all()
+        if self.rest:
+            self.width = width
+            (self.a, self.norm_a), (self.b, self.norm_b) = (
+                self._sparse(r[~dense[g]], g[~dense[g]], w[~dense[g]], n)
+                for r, g, w, n in ((ra, ga, wa, self.na), (rb, gb, wb, self.nb))
+            )
+
+    @staticmethod
+    def _sparse(r, g, w, n):
+        sizes = np.bincount(r, minlength=n)
+        return (np.concatenate(([0], np.cumsum(sizes))), sizes, g, w), np.sqrt(np.bincount(r, w * w, minlength=n))
+
+    def upper(self) -> np.ndarray:
+        return self.lower + np.outer(self.norm_a, self.norm_b) if self.rest else self.lower
+
+    def exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Full products of pairs ordered by row."""
+        out = self.lower[r, c]
+        if not self.rest or not len(r):
+            return out
+        starts_a, sizes_a, grams_a, weights_a = self.a
+        starts_b, sizes_b, grams_b, weights_b = self.b
+        spread = np.zeros(self.width)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            mine = slice(starts_a[r[lo]], starts_a[r[lo] + 1])
+            spread[grams_a[mine]] = weights_a[mine]
+            sizes = sizes_b[c[lo:hi]]
+            where = flat_ranges(starts_b[c[lo:hi]], sizes)
+            out[lo:hi] += np.bincount(
+                np.repeat(np.arange(hi - lo), sizes), spread[grams_b[where]] * weights_b[where], minlength=hi - lo
+            )
+            spread[grams_a[mine]] = 0.0
+        return out
 
 
 def cosine_scorer(cutoff: int):
     least = cutoff / 100.0
 
-    def score(table: pa.Table, groups: Groups, shape: Shape):
+    def score(table: pa.Table, groups: Groups, best: Best):
         vec = _Vectors(table)
         for left, right in groups:
             rank = groups.precedence(left, right, None)
             for rows, cols, once in blocks.sub_blocks(left, right, rank, _SQUARE, _SQUARE):
-                cosine = _products(vec, rows, cols)
-                near = cosine >= least - 1e-8
+                part = _Rectangle(vec, rows, cols)
+                if part.rest:
+                    best.raise_floors(rows, cols, part.lower * 100.0, once)
+                near = part.upper() >= least - 1e-8
                 if once is not None:
                     near &= once
                 r, c = np.nonzero(near)
-                s = np.round(cosine[r, c], COSINE_DECIMALS)
+                if part.rest:
+                    # floors are scores in percent; the margin keeps ties and rounding in
+                    upper = (part.lower[r, c] + part.norm_a[r] * part.norm_b[c]) * 100.0
+                    able = upper >= best.pair_floor(rows[r], cols[c]) - 1e-6
+                    r, c = r[able], c[able]
+                s = np.round(part.exact(r, c), COSINE_DECIMALS)
                 hit = s >= least
-                yield rows[r[hit]], cols[c[hit]], s[hit] * 100.0
+                best.add(rows[r[hit]], cols[c[hit]], s[hit] * 100.0)
 
     return score
 
@@ -207,20 +264,20 @@ def _pairs(corpus: DataFrame, cutoff: int, k: int, two_sided: bool, route: str)
     if by_signature:
         weights = prefix_flag(weights, cutoff)
     items = materialise(vectors(weights), "vectors")
-    got = items.agg(F.count("*").alias("n"), F.avg(F.size("grams")).alias("grams")).first()
+    got = items.agg(F.count("*").alias("n"), F.avg("size").alias("grams")).first()
     limit = blocks.chunk_rows(got["n"], 16 * (got["grams"] or 0), spark.sparkContext.defaultParallelism)
     is_left = F.col("side") == "a"
     is_right = F.col("side") == "b" if two_sided else F.lit(True)
     if by_signature:
         signed = items.select(
-            F.explode("prefix").alias("sig"), "pos", is_left.alias("is_left"), is_right.alias("is_right"), "grams", "weights"
+            F.explode("prefix").alias("sig"), "pos", is_left.alias("is_left"), is_right.alias("is_right"), "size", "ids", "weights"
         )
         stats = blocks.signature_stats(signed)
         cost, rows = blocks.signature_cost(stats, mirrored=not two_sided)
         if route == "signatures" or cost < all_pairs:
             return blocks.by_signatures(signed, stats, rows, cosine_scorer(cutoff), shape, limit)
     plain = items.select(
-        "pos", is_left.alias("is_left"), is_right.alias("is_right"), F.lit(0).cast("long").alias("band"), "grams", "weights"
+        "pos", is_left.alias("is_left"), is_right.alias("is_right"), F.lit(0).cast("long").alias("band"), "size", "ids", "weights"
     )
     return blocks.by_bands(plain, [(0, got["n"])], lambda low, high: (low, high), cosine_scorer(cutoff), shape, limit)
 
