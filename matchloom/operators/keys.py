@@ -59,13 +59,28 @@ def last_row_lookup(df: DataFrame) -> DataFrame:
 
 
 def catalogue(df: DataFrame) -> DataFrame:
-    """``key, pos, row`` in one aggregation: first position and last row of each key."""
+    """``key, pos, row`` in one aggregation: first position and last row of each key.
+
+    For rows whose position only holds within one scan; otherwise ``key_spans`` moves far less data.
+    """
     row = F.struct(*[ref(n) for n in source_columns(df)])
     return df.groupBy(F.col(KEY).alias("key")).agg(
         F.min(RID).alias("pos"), F.max_by(row, RID).alias("row")
     )
 
 
+def key_spans(df: DataFrame) -> DataFrame:
+    """``key, pos, last``: first and last position of each key. A hash aggregation over two columns."""
+    return df.groupBy(F.col(KEY).alias("key")).agg(F.min(RID).alias("pos"), F.max(RID).alias("last"))
+
+
+def rows_for(df: DataFrame, spans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``pos, row`` for the wanted positions only: the shown rows are fetched once the matches are known."""
+    row = F.struct(*[ref(n) for n in source_columns(df)])
+    last = spans.join(wanted, "pos", "left_semi").select("pos", "last")
+    return df.select(F.col(RID).alias("last"), row.alias("row")).join(last, "last").select("pos", "row")
+
+
 def keyed(df: DataFrame, cols: Sequence[str], order_col: str | None = None, sample: int | None = None) -> DataFrame:
     """Order, sample, clean and drop empty keys."""
     df = with_row_order(df, order_col)

@@ -55,9 +55,9 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def tfidf_weights(corpus: DataFrame) -> DataFrame:
-    """``side, pos, gram, gram_id, tf, df, weight``: smoothed idf, unit length per key."""
-    n = corpus.count()
+def tfidf_weights(corpus: DataFrame, n: int | None = None) -> DataFrame:
+    """``side, pos, gram, gram_id, tf, df, weight``: smoothed idf, unit length per key. ``n``: size of the corpus."""
+    n = corpus.count() if n is None else n
     counts = materialise(term_counts(corpus), "term-counts")
     numbered = document_frequency(counts).withColumn("gram_id", F.monotonically_increasing_id())
     vocabulary = materialise(numbered, "vocabulary")
@@ -260,7 +260,7 @@ def _pairs(corpus: DataFrame, cutoff: int, k: int, two_sided: bool, route: str)
     all_pairs = n_a * n_b if two_sided else n_a * (n_a - 1) / 2
     shape = Shape(k=k, high_b=True, two_sided=two_sided)
     by_signature = route == "signatures" or (route == "auto" and all_pairs > blocks.DIRECT_PAIRS)
-    weights = tfidf_weights(corpus)
+    weights = tfidf_weights(corpus, n_a + n_b)
     if by_signature:
         weights = prefix_flag(weights, cutoff)
     items = materialise(vectors(weights), "vectors")

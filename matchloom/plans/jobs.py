@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchloom.config import SAMPLE_ROWS, ScanConfig, validate_config
 from matchloom.operators.fuzzy import fuzzy_join, fuzzy_self_join
-from matchloom.operators.keys import catalogue, keyed
+from matchloom.operators.keys import catalogue, key_spans, keyed, rows_for, with_row_order
 from matchloom.operators.matches import attach_rows, build_matches, rank_matches
 from matchloom.operators.report import review_summary
 from matchloom.operators.review import decision_records, effective_decisions, in_range, pending_matches, replay_index
@@ -35,16 +35,40 @@ def scan(
     cfg = validate_config(df, master, cfg)
     ship(df.sparkSession)
     sample = SAMPLE_ROWS if cfg.sample else None
-    # stored once: positions are fixed from here on, and later stages read only the columns they need
-    mine = materialise(catalogue(keyed(df, cfg.primary_cols, order_col, sample)), "catalogue")
+    mine = _Side(df, cfg.primary_cols, order_col, sample)
     if master is None:
         theirs, cols_b = mine, cfg.primary_cols
-        pairs = _SELF[cfg.engine](mine.select("key", "pos"), cfg.cutoff, cfg.k)
+        pairs = _SELF[cfg.engine](mine.keys(), cfg.cutoff, cfg.k)
     else:
-        theirs = materialise(catalogue(keyed(master, cfg.master_cols, master_order_col)), "catalogue")
-        cols_b = cfg.master_cols
-        pairs = _TWO_SIDED[cfg.engine](mine.select("key", "pos"), theirs.select("key", "pos"), cfg.cutoff, cfg.k)
-    return rank_matches(build_matches(attach_rows(pairs, mine, theirs), cfg.primary_cols, cols_b))
+        theirs, cols_b = _Side(master, cfg.master_cols, master_order_col), cfg.master_cols
+        pairs = _TWO_SIDED[cfg.engine](mine.keys(), theirs.keys(), cfg.cutoff, cfg.k)
+    pairs = materialise(pairs, "pairs")
+    wanted_a, wanted_b = pairs.select(F.col("pos_a").alias("pos")), pairs.select(F.col("pos_b").alias("pos"))
+    if master is None:
+        lookup_a = lookup_b = mine.rows(wanted_a.unionAll(wanted_b))
+    else:
+        lookup_a, lookup_b = mine.rows(wanted_a), theirs.rows(wanted_b)
+    return rank_matches(build_matches(attach_rows(pairs, lookup_a, lookup_b), cfg.primary_cols, cols_b))
+
+
+class _Side:
+    """One input of a scan: its distinct keys, stored once, and the rows to show for some of them."""
+
+    def __init__(self, df: DataFrame, cols: Sequence[str], order_col: str | None, sample: int | None = None):
+        self.ordered = with_row_order(df, order_col)
+        # positions from a column mean the same in every scan; positions from the scan order do not, so
+        # then the rows are stored along with the keys
+        self.fixed = order_col is not None
+        source = keyed(df, cols, order_col, sample)
+        self.stored = materialise((key_spans if self.fixed else catalogue)(source), "keys")
+
+    def keys(self) -> DataFrame:
+        return self.stored.select("key", "pos")
+
+    def rows(self, wanted: DataFrame) -> DataFrame:
+        if self.fixed:
+            return rows_for(self.ordered, self.stored, wanted)
+        return self.stored.join(wanted, "pos", "left_semi").select("pos", "row")
 
 
 def dedupe(

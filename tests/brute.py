@@ -32,7 +32,7 @@ def fuzzy(left, right, cutoff, k):
                 found.append((j, 100.0 if not total else 200 * common / total))
         found.sort(key=lambda p: (-p[1], p[0]))
         if found:
-            out[i] = [(j, round(s, 6)) for j, s in found[:k]]
+            out[i] = [(j, round(s, 7)) for j, s in found[:k]]
     return out
 
 
@@ -70,5 +70,5 @@ def tfidf(left, right, cutoff, k):
                 found.append((j, s))
         found.sort(key=lambda p: (-p[1], -p[0]))
         if found:
-            out[i] = [(j, round(s * 100, 6)) for j, s in found[:k]]
+            out[i] = [(j, round(s * 100, 7)) for j, s in found[:k]]
     return out

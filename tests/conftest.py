@@ -36,5 +36,5 @@ def collect_pairs(df):
     """{pos_a: [(pos_b, raw), ...] by rank}"""
     out = {}
     for r in df.orderBy("pos_a", "rank").collect():
-        out.setdefault(r["pos_a"], []).append((r["pos_b"], round(r["raw"], 6)))
+        out.setdefault(r["pos_a"], []).append((r["pos_b"], round(r["raw"], 7)))
     return out
