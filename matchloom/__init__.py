@@ -2,10 +2,12 @@
 
 from matchloom.config import ScanConfig, apply_mappings, scan_prefix, validate_config
 from matchloom.plans.jobs import dedupe, map_to_master, resume, review
+from matchloom.plans.scratch import clear_scratch
 
 __all__ = [
     "ScanConfig",
     "apply_mappings",
+    "clear_scratch",
     "dedupe",
     "map_to_master",
     "resume",

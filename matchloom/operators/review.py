@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from matchloom.config import scan_prefix
 from matchloom.functions.text import strip_text
 from matchloom.operators.matches import project_ids
+from matchloom.plans.scratch import materialise
 
 # seq numbers never repeat in a session, so a block of this many numbers holds at most as many events
 SEQ_BLOCK = 65536
@@ -34,6 +35,8 @@ def replay_index(events: DataFrame) -> DataFrame:
     run = blocked.withColumn("__sum", F.sum("__step").over(inside))
     # lowest running sum before each event, within its block
     run = run.withColumn("__low", F.min("__sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    # read twice below, and the result usually more often
+    run = materialise(run, "replay")
     ends = run.groupBy("session", "__block").agg(F.sum("__step").alias("t"), F.min("__sum").alias("low"))
     carried = Window.partitionBy("session").orderBy("__block")
     earlier = carried.rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ import matchloom
 from matchloom import ScanConfig, validate_config
 from matchloom.operators.keys import keyed, with_row_order
 from matchloom.operators.matches import join_back
+from matchloom.plans import scratch
 from matchloom.sources import session
 
 VENDOR = "vendor_id long, name string, city string, phone long, note string"
@@ -132,3 +133,13 @@ def test_reserved_and_odd_names(spark):
         with_row_order(df)
     odd = spark.createDataFrame([(1, "a b")], ["id", "full.name"])
     assert keyed(odd, ["full.name"], "id").first()["__key"] == "a b"
+
+
+def test_clear_scratch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(scratch, "_written", [])
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab ce")], "id long, name string")
+    assert matchloom.dedupe(df, ["name"], cutoff=50, order_col="id").count() == 1
+    assert any(tmp_path.iterdir())
+    matchloom.clear_scratch(spark)
+    assert not any(tmp_path.iterdir())
