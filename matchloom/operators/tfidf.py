@@ -12,7 +12,7 @@ from matchloom.functions.lcs import flat_ranges
 from matchloom.functions.text import NGRAM_SIZES, SPLIT_PATTERN
 from matchloom.operators import blocks
 from matchloom.operators.blocks import Best, Groups, Shape
-from matchloom.plans.scratch import materialise
+from matchloom.plans.scratch import materialise, materialise_counted
 
 # cosines are compared and ranked at this many decimals, so that summation order cannot decide
 COSINE_DECIMALS = 9
@@ -60,8 +60,8 @@ def tfidf_weights(corpus: DataFrame, n: int | None = None) -> DataFrame:
     n = corpus.count() if n is None else n
     counts = materialise(term_counts(corpus), "term-counts")
     numbered = document_frequency(counts).withColumn("gram_id", F.monotonically_increasing_id())
-    vocabulary = materialise(numbered, "vocabulary")
-    if vocabulary.count() <= _VOCABULARY_BROADCAST:
+    vocabulary, seen = materialise_counted(numbered, "vocabulary", grams=F.count(F.lit(1)))
+    if seen["grams"] <= _VOCABULARY_BROADCAST:
         joined = counts.join(F.broadcast(vocabulary), "gram")
     else:
         # a gram may occur in most keys: spread its rows over salted copies of its one vocabulary row
@@ -253,18 +253,19 @@ def cosine_scorer(cutoff: int):
 # --- joins ----------------------------------------------------------------------------------------
 
 
-def _pairs(corpus: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -> DataFrame:
-    spark = corpus.sparkSession
-    sides = {r["side"]: r["n"] for r in corpus.groupBy("side").agg(F.count("*").alias("n")).collect()}
-    n_a, n_b = sides.get("a", 0), sides.get("b", 0)
+def _pairs(keys: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -> DataFrame:
+    spark = keys.sparkSession
+    corpus, seen = materialise_counted(
+        keys, "corpus", a=F.count_if(F.col("side") == "a"), b=F.count_if(F.col("side") == "b")
+    )
+    n_a, n_b = seen["a"], seen["b"]
     all_pairs = n_a * n_b if two_sided else n_a * (n_a - 1) / 2
     shape = Shape(k=k, high_b=True, two_sided=two_sided)
     by_signature = route == "signatures" or (route == "auto" and all_pairs > blocks.DIRECT_PAIRS)
     weights = tfidf_weights(corpus, n_a + n_b)
     if by_signature:
         weights = prefix_flag(weights, cutoff)
-    items = materialise(vectors(weights), "vectors")
-    got = items.agg(F.count("*").alias("n"), F.avg("size").alias("grams")).first()
+    items, got = materialise_counted(vectors(weights), "vectors", n=F.count(F.lit(1)), grams=F.avg("size"))
     limit = blocks.chunk_rows(got["n"], 16 * (got["grams"] or 0), spark.sparkContext.defaultParallelism)
     is_left = F.col("side") == "a"
     is_right = F.col("side") == "b" if two_sided else F.lit(True)
@@ -289,9 +290,9 @@ def top_k_tfidf(pairs: DataFrame, k: int) -> DataFrame:
 
 def tfidf_self_join(keys: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
     """``pos_a, pos_b, raw, rank`` over ``key, pos``; the partner always comes later than the item."""
-    return top_k_tfidf(_pairs(materialise(idf_corpus(keys), "corpus"), cutoff, k, False, route), k)
+    return top_k_tfidf(_pairs(idf_corpus(keys), cutoff, k, False, route), k)
 
 
 def tfidf_join(primary: DataFrame, master: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
     """``pos_a, pos_b, raw, rank``: the best master keys of every primary key."""
-    return top_k_tfidf(_pairs(materialise(idf_corpus(primary, master), "corpus"), cutoff, k, True, route), k)
+    return top_k_tfidf(_pairs(idf_corpus(primary, master), cutoff, k, True, route), k)

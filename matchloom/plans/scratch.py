@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local: list[str] = []
 _written: list[str] = []
@@ -48,3 +48,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_counted(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Write once, read back, and return aggregates observed during the write instead of a second pass."""
+    seen = Observation()
+    stored = materialise(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), label)
+    return stored, seen.get
