@@ -19,6 +19,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,20 @@ def band_plan(counts: Iterable[tuple[int, int]], reach: Callable[[int, int], tup
     return [(band, first, splits, *partners(first)) for band, first, splits in spans], len(edges)
 
 
+def band_cost(counts: Iterable[tuple[int, int, int]], reach: Callable[[int, int], tuple[int, int]], two_sided: bool) -> float:
+    """Pairs whose bands can reach the cutoff, from ``(band, items, items on the left)``."""
+    ordered = sorted(counts)
+    bands = [b for b, _, _ in ordered]
+    others = [n - a if two_sided else n for _, n, a in ordered]
+    below = [0, *accumulate(others)]
+    total = 0.0
+    for band, n, a in ordered:
+        low, high = reach(band, band)
+        near = below[bisect_right(bands, high)] - below[bisect_left(bands, low)]
+        total += a * near if two_sided else n * near / 2
+    return total
+
+
 def _partition_count(df: DataFrame, blocks: int) -> int:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism

@@ -205,19 +205,19 @@ def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -
         .collect()
     ]
     total = sum(n for _, n, _ in counts)
-    n_left = sum(a for _, _, a in counts)
     avg = sum(b * n for b, n, _ in counts) / max(total, 1)
     limit = blocks.chunk_rows(total, 4 * avg, spark.sparkContext.defaultParallelism)
     shape = Shape(k=k, high_b=False, two_sided=two_sided, longer_first=not two_sided)
     scorer = fuzzy_scorer(cutoff)
-    all_pairs = n_left * (total - n_left) if two_sided else total * (total - 1) / 2
+    reach = _length_reach(cutoff)
+    in_bands = blocks.band_cost(counts, reach, two_sided)
     if route == "signatures" and cutoff <= 50:
         raise ValueError("no signature holds at a cutoff of 50")
-    if route == "signatures" or (route == "auto" and cutoff > 50 and all_pairs > blocks.DIRECT_PAIRS):
+    if route == "signatures" or (route == "auto" and cutoff > 50 and in_bands > blocks.DIRECT_PAIRS):
         signed = signatures(items, cutoff, two_sided)
         stats = blocks.signature_stats(signed)
         cost, rows = blocks.signature_cost(stats, mirrored=False)
-        if route == "signatures" or cost < all_pairs:
+        if route == "signatures" or cost < in_bands:
             return blocks.by_signatures(signed, stats, rows, scorer, shape, limit)
     sides = items.select(
         "pos",
@@ -226,7 +226,6 @@ def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -
         (F.col("side") == "a").alias("is_left"),
         (F.col("side") == "b").alias("is_right") if two_sided else F.lit(True).alias("is_right"),
     )
-    reach = _length_reach(cutoff)
     return blocks.by_bands(sides, [(b, n) for b, n, _ in counts], reach, scorer, shape, limit)
 
 

@@ -107,3 +107,35 @@ def test_long_texts_meet_in_bands(spark, keys_of):
     keys = [base, base.replace("a", "b", 9), base[:300], base[40:], base + " tail"]
     assert collect_pairs(fuzzy_self_join(keys_of(keys), 80, 5)) == brute.fuzzy(keys, None, 80, 5)
     assert collect_pairs(fuzzy_self_join(keys_of(keys), 80, 5, "signatures")) == brute.fuzzy(keys, None, 80, 5)
+
+
+@pytest.mark.parametrize("two_sided", [False, True])
+def test_planning(two_sided):
+    """Every reachable pair of items meets in exactly one pair of chunks, and the cost counts those pairs."""
+    rng = random.Random(4)
+    cutoff = 80
+    counts = [(band, n, rng.randint(0, n)) for band, n in ((b, rng.choice([1, 3, 9, 40])) for b in range(0, 60, 2))]
+
+    def reach(low, high):
+        return -(-low * cutoff // (200 - cutoff)), high * (200 - cutoff) // cutoff
+
+    spans, n_chunks = blocks.band_plan([(b, n) for b, n, _ in counts], reach, 12)
+    plan = {band: (first, splits, low, high) for band, first, splits, low, high in spans}
+    assert max(first + splits for first, splits, _, _ in plan.values()) == n_chunks
+    rows = {}
+    for band, n, _ in counts:
+        first, splits, low, high = plan[band]
+        rows[first] = rows.get(first, 0) + (n if splits == 1 else 0)
+        assert splits == -(-n // 12) if n > 12 else splits == 1
+        for other, *_ in counts:
+            if reach(band, band)[0] <= other <= reach(band, band)[1]:
+                there, more = plan[other][:2]
+                assert low <= there and there + more - 1 <= high
+    assert max(rows.values()) <= 12
+    expected = sum(
+        (a * (m - c) if two_sided else n * m / 2)
+        for band, n, a in counts
+        for other, m, c in counts
+        if reach(band, band)[0] <= other <= reach(band, band)[1]
+    )
+    assert blocks.band_cost(counts, reach, two_sided) == expected
