@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # White space at the ends of a text and between words, deleted punctuation, n-gram sizes.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPLIT_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 DELETED_PATTERN = "[.,-]"
 NGRAM_SIZES = (2, 3, 4)
@@ -69,7 +72,7 @@ def combine(schema: T.StructType, cols: Sequence[str]) -> Column:
 
 
 def strip_text(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_key(schema: T.StructType, cols: Sequence[str]) -> Column:

@@ -197,7 +197,7 @@ def sub_blocks(left, right, rank, rows_left: int, rows_right: int):
 
 def chunk_rows(total: int, avg_bytes: float, parallelism: int) -> int:
     """Small enough to keep every core busy, large enough not to copy items too often, and bounded."""
-    wanted = math.ceil(total / max(1.0, math.sqrt(8 * parallelism)))
+    wanted = math.ceil(total / max(1.0, math.sqrt(4 * parallelism)))
     bounded = min(CHUNK_ROWS_MAX, int(CHUNK_BYTES / max(1.0, avg_bytes)))
     return max(1, min(max(wanted, CHUNK_ROWS_MIN), bounded))
 

@@ -91,3 +91,13 @@ def test_display_and_context(spark):
 def test_score_band(spark):
     df = spark.createDataFrame([(95.0,), (94.9,), (85.0,), (84.9,)], "s double")
     assert [r["b"] for r in df.select(text.score_band(F.col("s")).alias("b")).collect()] == ["high", "medium", "medium", "low"]
+
+
+def test_white_space_is_that_of_python(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    assert sorted(spaces) == sorted(text.SPACES)
+    values = [f"{s}a{s}b{s}" for s in spaces] + ["".join(spaces), "​x​"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select(text.strip_text(F.col("v")).alias("s"), text.words(F.col("v")).alias("w")).collect()
+    assert [r["s"] for r in got] == [v.strip() for v in values]
+    assert [r["w"] for r in got] == [v.split() for v in values]
