@@ -5,7 +5,7 @@ item is sent to the blocks in which it may meet a partner, a block holds a bound
 a NumPy scorer inside the block returns only pairs above the cutoff, at most k per item. Pairs are
 never rows of a shuffle before they are scored.
 
-Two routes choose the blocks, and both lose nothing:
+Two routes choose the blocks, and both lose nothing (``score_pairs`` picks, or combines them under skew):
 
 * ``bands``: items ordered by a band (text length) and cut into chunks; chunk pairs whose bands can
   reach the cutoff form a block. A band with too many items is split by a hash.
@@ -24,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.plans.scratch import materialise
@@ -294,12 +294,29 @@ def signature_stats(signed: DataFrame) -> DataFrame:
     )
 
 
-def signature_cost(stats: DataFrame, mirrored: bool) -> tuple[float, int]:
-    """Pairs that would be scored, and rows that would move."""
+def _pairs_of(mirrored: bool) -> Column:
     pairs = F.col("n_left").cast("double") * F.col("n_right")
+    return pairs / 2 if mirrored else pairs
+
+
+def _is_hot(limit: int) -> Column:
+    """More pairs than one block holds; then one side has more than ``limit`` items, so few can be hot."""
+    return F.col("n_left").cast("double") * F.col("n_right") > float(limit) * limit
+
+
+def signature_cost(stats: DataFrame, mirrored: bool, limit: int) -> tuple[float, float, int]:
+    """Pairs that would be scored, those of hot signatures among them, and rows that would move."""
+    pairs = _pairs_of(mirrored)
     rows = F.col("n_left") if mirrored else F.col("n_left") + F.col("n_right")
-    got = stats.agg(F.sum(pairs / 2 if mirrored else pairs).alias("p"), F.sum(rows).alias("r")).first()
-    return got["p"] or 0.0, got["r"] or 0
+    got = stats.agg(
+        F.sum(pairs).alias("p"), F.sum(F.when(_is_hot(limit), pairs)).alias("h"), F.sum(rows).alias("r")
+    ).first()
+    return got["p"] or 0.0, got["h"] or 0.0, got["r"] or 0
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table of hot signatures, at most rows / limit of them, if its checked size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def by_signatures(signed: DataFrame, stats: DataFrame, rows: int, scorer: Scorer, shape: Shape, limit: int) -> DataFrame:
@@ -309,9 +326,7 @@ def by_signatures(signed: DataFrame, stats: DataFrame, rows: int, scorer: Scorer
         F.ceil(F.col("n_left") / limit).cast("int").alias("s_left"),
         F.ceil(F.col("n_right") / limit).cast("int").alias("s_right"),
     )
-    # at most rows / limit signatures are hot, and the count is checked before they are broadcast
-    if hot.count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
+    hot = _small(hot)
     both = F.col("is_left") & F.col("is_right")
     mine = F.greatest(F.when(F.col("is_left"), F.col("s_left")).otherwise(F.col("s_right")), F.lit(1))
     yours = F.greatest(
@@ -348,6 +363,57 @@ def by_signatures(signed: DataFrame, stats: DataFrame, rows: int, scorer: Scorer
     return _score(blocks, scorer, shape, 1 << 30)
 
 
+def band_counts(items: DataFrame) -> list[tuple[int, int, int]]:
+    """``(band, items, items on the left)``; a band is a text length, so the longest text bounds the list."""
+    counted = items.groupBy("band").agg(F.count("*").alias("n"), F.count_if("is_left").alias("a"))
+    return [(r["band"], r["n"], r["a"]) for r in counted.collect()]
+
+
+def score_pairs(
+    items: DataFrame,
+    counts: list[tuple[int, int, int]],
+    reach: Callable[[int, int], tuple[int, int]],
+    signed: Callable[[], DataFrame] | None,
+    scorer: Scorer,
+    shape: Shape,
+    limit: int,
+    mirrored: bool,
+    route: str,
+) -> DataFrame:
+    """Score all pairs that can reach the cutoff, by the route that scores the fewest.
+
+    ``items`` carry pos, is_left, is_right, band and the payload. Beside the two plain routes there is a
+    third, ``split``, for skew: items that share any hot signature meet once by bands, not once per hot
+    signature, and only the other signatures are used as such.
+    """
+
+    def bands(some: DataFrame, n: list[tuple[int, int, int]]) -> DataFrame:
+        return by_bands(some, [(band, rows) for band, rows, _ in n], reach, scorer, shape, limit)
+
+    in_bands = band_cost(counts, reach, shape.two_sided)
+    if signed is None or route == "bands" or (route == "auto" and in_bands <= DIRECT_PAIRS):
+        return bands(items, counts)
+    rows_of = signed()
+    stats = signature_stats(rows_of)
+    cost, hot_cost, rows = signature_cost(stats, mirrored, limit)
+    costs = {"bands": in_bands, "signatures": cost}
+    if route == "split" or (route == "auto" and hot_cost > 0):
+        hot = _small(stats.filter(_is_hot(limit)).select("sig"))
+        ids = ["pos", "is_left"] if shape.two_sided else ["pos"]
+        touched = rows_of.join(hot, "sig", "left_semi").select(*ids).distinct()
+        hot_items = materialise(items.join(touched, ids, "left_semi"), "hot-items")
+        hot_counts = band_counts(hot_items)
+        costs["split"] = cost - hot_cost + band_cost(hot_counts, reach, shape.two_sided)
+    chosen = min(costs, key=costs.get) if route == "auto" else route
+    if chosen == "bands":
+        return bands(items, counts)
+    if chosen == "signatures":
+        return by_signatures(rows_of, stats, rows, scorer, shape, limit)
+    cold = rows_of.join(hot, "sig", "left_anti")
+    rest = by_signatures(cold, stats.filter(~_is_hot(limit)), rows, scorer, shape, limit)
+    return rest.unionAll(bands(hot_items, hot_counts))
+
+
 def keep_top_k(pairs: DataFrame, k: int, high_b: bool) -> DataFrame:
     """Drop repeats of a pair and rank; one shuffle, on the item."""
     order = [F.desc("raw"), F.desc("pos_b") if high_b else F.asc("pos_b")]

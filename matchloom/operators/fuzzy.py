@@ -195,38 +195,29 @@ def _length_reach(cutoff: int):
 
 
 def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -> DataFrame:
-    spark = items.sparkSession
-    band = F.length("form").cast("long")
-    # grouped by text length: one row per distinct length, at most as many as the longest text has characters
-    counts = [
-        (r["band"], r["n"], r["a"])
-        for r in items.groupBy(band.alias("band"))
-        .agg(F.count("*").alias("n"), F.sum((F.col("side") == "a").cast("long")).alias("a"))
-        .collect()
-    ]
-    total = sum(n for _, n, _ in counts)
-    avg = sum(b * n for b, n, _ in counts) / max(total, 1)
-    limit = blocks.chunk_rows(total, 4 * avg, spark.sparkContext.defaultParallelism)
-    shape = Shape(k=k, high_b=False, two_sided=two_sided, longer_first=not two_sided)
-    scorer = fuzzy_scorer(cutoff)
-    reach = _length_reach(cutoff)
-    in_bands = blocks.band_cost(counts, reach, two_sided)
-    if route == "signatures" and cutoff <= 50:
+    if route in ("signatures", "split") and cutoff <= 50:
         raise ValueError("no signature holds at a cutoff of 50")
-    if route == "signatures" or (route == "auto" and cutoff > 50 and in_bands > blocks.DIRECT_PAIRS):
-        signed = signatures(items, cutoff, two_sided)
-        stats = blocks.signature_stats(signed)
-        cost, rows = blocks.signature_cost(stats, mirrored=False)
-        if route == "signatures" or cost < in_bands:
-            return blocks.by_signatures(signed, stats, rows, scorer, shape, limit)
     sides = items.select(
         "pos",
         "form",
-        band.alias("band"),
+        F.length("form").cast("long").alias("band"),
         (F.col("side") == "a").alias("is_left"),
         (F.col("side") == "b").alias("is_right") if two_sided else F.lit(True).alias("is_right"),
     )
-    return blocks.by_bands(sides, [(b, n) for b, n, _ in counts], reach, scorer, shape, limit)
+    counts = blocks.band_counts(sides)
+    total = sum(n for _, n, _ in counts)
+    avg = sum(band * n for band, n, _ in counts) / max(total, 1)
+    return blocks.score_pairs(
+        sides,
+        counts,
+        _length_reach(cutoff),
+        (lambda: signatures(items, cutoff, two_sided)) if cutoff > 50 else None,
+        fuzzy_scorer(cutoff),
+        Shape(k=k, high_b=False, two_sided=two_sided, longer_first=not two_sided),
+        blocks.chunk_rows(total, 4 * avg, items.sparkSession.sparkContext.defaultParallelism),
+        mirrored=False,
+        route=route,
+    )
 
 
 def top_k_fuzzy(pairs: DataFrame, k: int) -> DataFrame:

@@ -259,28 +259,26 @@ def _pairs(keys: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) ->
         keys, "corpus", a=F.count_if(F.col("side") == "a"), b=F.count_if(F.col("side") == "b")
     )
     n_a, n_b = seen["a"], seen["b"]
-    all_pairs = n_a * n_b if two_sided else n_a * (n_a - 1) / 2
-    shape = Shape(k=k, high_b=True, two_sided=two_sided)
-    by_signature = route == "signatures" or (route == "auto" and all_pairs > blocks.DIRECT_PAIRS)
+    all_pairs = n_a * n_b if two_sided else n_a * n_a / 2
+    flagged = route in ("signatures", "split") or (route == "auto" and all_pairs > blocks.DIRECT_PAIRS)
     weights = tfidf_weights(corpus, n_a + n_b)
-    if by_signature:
+    if flagged:
         weights = prefix_flag(weights, cutoff)
     items, got = materialise_counted(vectors(weights), "vectors", n=F.count(F.lit(1)), grams=F.avg("size"))
-    limit = blocks.chunk_rows(got["n"], 16 * (got["grams"] or 0), spark.sparkContext.defaultParallelism)
     is_left = F.col("side") == "a"
     is_right = F.col("side") == "b" if two_sided else F.lit(True)
-    if by_signature:
-        signed = items.select(
-            F.explode("prefix").alias("sig"), "pos", is_left.alias("is_left"), is_right.alias("is_right"), "size", "ids", "weights"
-        )
-        stats = blocks.signature_stats(signed)
-        cost, rows = blocks.signature_cost(stats, mirrored=not two_sided)
-        if route == "signatures" or cost < all_pairs:
-            return blocks.by_signatures(signed, stats, rows, cosine_scorer(cutoff), shape, limit)
-    plain = items.select(
-        "pos", is_left.alias("is_left"), is_right.alias("is_right"), F.lit(0).cast("long").alias("band"), "size", "ids", "weights"
+    payload = (is_left.alias("is_left"), is_right.alias("is_right"), "size", "ids", "weights")
+    return blocks.score_pairs(
+        items.select("pos", F.lit(0).cast("long").alias("band"), *payload),
+        [(0, got["n"], min(n_a, got["n"]))],
+        lambda low, high: (low, high),
+        (lambda: items.select(F.explode("prefix").alias("sig"), "pos", *payload)) if flagged else None,
+        cosine_scorer(cutoff),
+        Shape(k=k, high_b=True, two_sided=two_sided),
+        blocks.chunk_rows(got["n"], 16 * (got["grams"] or 0), spark.sparkContext.defaultParallelism),
+        mirrored=not two_sided,
+        route=route,
     )
-    return blocks.by_bands(plain, [(0, got["n"])], lambda low, high: (low, high), cosine_scorer(cutoff), shape, limit)
 
 
 def top_k_tfidf(pairs: DataFrame, k: int) -> DataFrame:

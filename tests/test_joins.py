@@ -49,7 +49,7 @@ def tiny_blocks(monkeypatch):
 
 
 ROUTES = [(e, c, r) for e in ("fuzzy", "tfidf") for c, r in ((50, "bands"), (70, "bands"), (85, "bands"), (85, "signatures"), (100, "bands"))]
-ROUTES += [("fuzzy", 70, "signatures"), ("fuzzy", 51, "signatures"), ("fuzzy", 100, "signatures"), ("tfidf", 50, "signatures"), ("tfidf", 100, "signatures")]
+ROUTES += [("fuzzy", 85, "split"), ("tfidf", 60, "split"), ("fuzzy", 70, "signatures"), ("fuzzy", 51, "signatures"), ("fuzzy", 100, "signatures"), ("tfidf", 50, "signatures"), ("tfidf", 100, "signatures")]
 
 
 @pytest.mark.parametrize("engine, cutoff, route", ROUTES)
@@ -66,6 +66,19 @@ def test_two_sided_join_loses_nothing(spark, keys_of, tiny_blocks, engine, cutof
     assert got == BRUTE[engine](left, right, cutoff, 5)
 
 
+@pytest.mark.parametrize("engine", ["fuzzy", "tfidf"])
+@pytest.mark.parametrize("two_sided", [False, True])
+def test_automatic_route(spark, keys_of, tiny_blocks, monkeypatch, engine, two_sided):
+    """With no allowance for direct pairs, the counts decide; the hot family makes some signatures hot."""
+    monkeypatch.setattr(blocks, "DIRECT_PAIRS", 0)
+    left, right = some_keys(120, 11), some_keys(60, 12)
+    if two_sided:
+        got = collect_pairs(TWO[engine](keys_of(left), keys_of(right), 90, 5))
+    else:
+        got = collect_pairs(SELF[engine](keys_of(left), 90, 5))
+    assert got == BRUTE[engine](left, right if two_sided else None, 90, 5)
+
+
 @pytest.mark.parametrize("engine", ["fuzzy", "tfidf"])
 def test_default_block_sizes(spark, keys_of, engine):
     keys = some_keys(400, 7)
@@ -91,7 +104,7 @@ def test_cutoff_is_inclusive_and_sees_unrounded_scores(spark, keys_of):
 
 
 @pytest.mark.parametrize("engine", ["fuzzy", "tfidf"])
-@pytest.mark.parametrize("route", ["bands", "signatures"])
+@pytest.mark.parametrize("route", ["bands", "signatures", "split"])
 def test_no_rows(spark, keys_of, engine, route):
     assert collect_pairs(SELF[engine](keys_of([]), 85, 5, route)) == {}
 
