@@ -360,7 +360,7 @@ def by_signatures(signed: DataFrame, stats: DataFrame, rows: int, scorer: Scorer
         F.when(both, me == high).otherwise(F.col("is_right")).alias("is_right"),
         *payload,
     )
-    return _score(blocks, scorer, shape, 1 << 30)
+    return _score(blocks, scorer, shape, max(4 * signed.sparkSession.sparkContext.defaultParallelism, rows // 512))
 
 
 def band_counts(items: DataFrame) -> list[tuple[int, int, int]]:

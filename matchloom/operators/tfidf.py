@@ -20,6 +20,7 @@ _SQUARE = 1024
 _DENSE_COLUMNS = 4096
 _VOCABULARY_BROADCAST = 1_000_000
 _SALTS = 64
+_KEYS_PER_TASK = 1000
 
 
 def idf_corpus(primary: DataFrame, master: DataFrame | None = None) -> DataFrame:
@@ -28,9 +29,12 @@ def idf_corpus(primary: DataFrame, master: DataFrame | None = None) -> DataFrame
     return mine if master is None else mine.unionAll(master.select(F.lit("b").alias("side"), "pos", "key"))
 
 
-def term_counts(corpus: DataFrame) -> DataFrame:
+def term_counts(corpus: DataFrame, n_keys: int | None = None) -> DataFrame:
     """``side, pos, gram, tf``. Keys are spread before they are taken apart, so grams need no shuffle."""
-    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = corpus.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_keys is not None:
+        n = min(n, max(spark.sparkContext.defaultParallelism, n_keys // _KEYS_PER_TASK))
     padded, at = F.col("padded"), F.col("at")
 
     def gram(size: int) -> Column:
@@ -58,7 +62,7 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def tfidf_weights(corpus: DataFrame, n: int | None = None) -> DataFrame:
     """``side, pos, gram, gram_id, tf, df, weight``: smoothed idf, unit length per key. ``n``: size of the corpus."""
     n = corpus.count() if n is None else n
-    counts = materialise(term_counts(corpus), "term-counts")
+    counts = materialise(term_counts(corpus, n), "term-counts")
     numbered = document_frequency(counts).withColumn("gram_id", F.monotonically_increasing_id())
     vocabulary, seen = materialise_counted(numbered, "vocabulary", grams=F.count(F.lit(1)))
     if seen["grams"] <= _VOCABULARY_BROADCAST:
