@@ -37,3 +37,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def hashed_out(id_col: str, parts: int, held: int) -> Column:
     """True for rows whose crc32 of the id, as text, leaves the held-out remainder; false for null ids."""
     return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % parts == held, F.lit(False))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The wanted names, lengthened where the input already has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
