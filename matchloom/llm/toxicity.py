@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A character 5-gram model of toxic texts is compared with one of ordinary texts. Both discount their own 5-gram counts
+A character 7-gram model of toxic texts is compared with one of ordinary texts. Both discount their own 7-gram counts
 and back off to one *shared* model of shorter grams, built from continuation counts of both classes together: a rare
 expression is smoothed alike on either side, so only what the classes really say differently moves the score.
 
 A word's evidence is the difference of its two log-likelihoods; evidence is length-normalised over windows of a few
 words and over the whole text. A logistic curve, fitted on labelled texts that its models have not seen, turns the
-strongest window, the mean and the length into a score from 0 to 1.
+strongest window, the mean, the strongest words and the length into a score from 0 to 1.
 
 Fitting uses a bounded sample: about ``toxic_rows`` and ``ordinary_rows`` labelled texts, chosen by a hash of the id,
 whose word counts fit one process. Scoring is one pass without a shuffle. Null texts and texts without letters get the
@@ -31,11 +31,13 @@ from matchloom.llm.tables import col, fresh, hashed_out
 from matchloom.llm.words import mix
 from matchloom.plans.scratch import materialise
 
-ORDER = 5
-TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
+ORDER = 7
+TOXIC_ROWS, ORDINARY_ROWS = 3000, 5000
 CUTOFF = 0.3
 _DISCOUNT = 0.75
 _WINDOW = 2
+_STRONGEST = 8
+FEATURES = 4
 _CACHE_WORDS = 200_000
 _POWERS = np.cumprod(np.full(ORDER, 0x9E3779B97F4A7C15, np.uint64))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,7 +85,7 @@ class Table:
     @staticmethod
     def of(keys: np.ndarray, *columns: np.ndarray) -> Table:
         unique, at = np.unique(keys, return_inverse=True)
-        return Table(unique, np.stack([np.bincount(at, weights=c, minlength=len(unique)) for c in columns], 1))
+        return Table(unique, np.stack([np.bincount(at, weights=c, minlength=len(unique)) for c in columns], 1).astype(np.float32))
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -94,8 +96,8 @@ class Table:
 
 @dataclass(frozen=True)
 class KneserNey:
-    top: Table  # 5-gram: toxic, ordinary count
-    above: Table  # 4 characters: toxic, ordinary count, toxic, ordinary number of next characters
+    top: Table  # 7-gram: toxic, ordinary count
+    above: Table  # the 6 characters before: toxic, ordinary count, toxic, ordinary number of next characters
     lower: list[Table]  # m-gram: continuation count
     below: list[Table]  # m-1 characters: sum of continuation counts, number of next characters
     alphabet: int
@@ -154,10 +156,10 @@ class Evidence(dict):
             self.update(zip(some, self.model.evidence(some).tolist()))
 
 
-def features(words: list[str], evidence: Evidence) -> tuple[float, float, float]:
-    """Strongest window, mean (both per character) and log of the number of words."""
+def features(words: list[str], evidence: Evidence) -> tuple[float, ...]:
+    """Strongest window and mean (both per character), mean of the strongest words, log of the number of words."""
     if not words:
-        return 0.0, 0.0, 0.0
+        return (0.0,) * FEATURES
     e = np.fromiter(map(evidence.__getitem__, words), np.float64, len(words))
     n = np.fromiter(map(len, words), np.float64, len(words)) + 1
     if len(words) < _WINDOW:
@@ -165,7 +167,8 @@ def features(words: list[str], evidence: Evidence) -> tuple[float, float, float]
     else:
         ones = np.ones(_WINDOW)
         best = float((np.convolve(e, ones, "valid") / np.convolve(n, ones, "valid")).max())
-    return best, float(e.sum() / n.sum()), float(np.log(len(words)))
+    top = np.sort(e)[::-1][:_STRONGEST]
+    return best, float(e.sum() / n.sum()), float(top.sum() / _STRONGEST), float(np.log(len(words)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -187,14 +190,14 @@ class Model:
     weights: np.ndarray
     base: float
 
-    def score(self, rows: list[tuple[float, float, float]]) -> np.ndarray:
+    def score(self, rows: list[tuple[float, ...]]) -> np.ndarray:
         if self.language is None:
             return np.full(len(rows), self.base)
-        x = np.concatenate((np.array(rows).reshape(-1, 3), np.ones((len(rows), 1))), 1)
+        x = np.concatenate((np.array(rows).reshape(-1, FEATURES), np.ones((len(rows), 1))), 1)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _batches_of(texts: list[str | None], evidence: Evidence) -> Iterator[tuple[float, float, float]]:
+def _batches_of(texts: list[str | None], evidence: Evidence) -> Iterator[tuple[float, ...]]:
     """Features of texts; words new to the cache are evaluated for many texts at once."""
     at = 0
     while at < len(texts):
@@ -236,7 +239,7 @@ def fit(
     one = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
-        return Model(None, np.zeros(4), 1.0 if n.get(1) else 0.0)
+        return Model(None, np.zeros(FEATURES + 1), 1.0 if n.get(1) else 0.0)
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / n[1])).otherwise(min(1.0, ordinary_rows / n[0]))
     key = F.xxhash64("id", F.lit("toxicity"))
     chosen = one.filter(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).withColumn("fold", F.pmod(F.shiftright(key, 32), F.lit(2)).cast("int"))
@@ -245,7 +248,7 @@ def fit(
     stored = materialise(joined.filter("text is not null").select("toxic", "fold", "text"), "toxicity-sample")
     got = stored.mapInArrow(_word_counts, "word string, fold int, toxic int, n long").toArrow()
     if not got.num_rows:
-        return Model(None, np.zeros(4), 0.0)
+        return Model(None, np.zeros(FEATURES + 1), 0.0)
     encoded = got["word"].combine_chunks().dictionary_encode()
     words, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
     fold, toxic, count = (got[c].to_numpy() for c in ("fold", "toxic", "n"))
@@ -255,7 +258,7 @@ def fit(
         used = np.flatnonzero(t + o)
         return KneserNey.fit([words[i] for i in used], t[used], o[used])
 
-    x, y = [], []
+    x, y, columns = [], [], [f"f{i}" for i in range(FEATURES)]
     for part in (0, 1):
         if not (fold != part).any():
             continue
@@ -265,11 +268,11 @@ def fit(
             evidence = Evidence(half.value)
             for batch in batches:
                 rows = list(_batches_of(batch.column("text").to_pylist(), evidence))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in zip(*rows))], names=["toxic", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in zip(*rows))], names=["toxic", *columns])
 
-        rows = stored.filter(F.col("fold") == part).select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double").toPandas()
-        rows = rows.sort_values(["a", "b", "c", "toxic"])
-        x.append(rows[["a", "b", "c"]].to_numpy()), y.append(rows["toxic"].to_numpy(float))
+        rows = stored.filter(F.col("fold") == part).select("toxic", "text").mapInArrow(run, ", ".join(["toxic int", *(f"{c} double" for c in columns)])).toPandas()
+        rows = rows.sort_values([*columns, "toxic"])
+        x.append(rows[columns].to_numpy()), y.append(rows["toxic"].to_numpy(float))
     x, y = np.concatenate(x), np.concatenate(y)
     weights = logistic(np.concatenate((x, np.ones((len(x), 1))), 1), y)
     return Model(counts(np.ones(len(at), bool)), weights, float(y.mean()))
@@ -285,7 +288,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFr
         evidence = Evidence(m.language)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            rows = list(_batches_of(texts, evidence)) if m.language else [(0.0, 0.0, 0.0)] * len(texts)
+            rows = list(_batches_of(texts, evidence)) if m.language else [(0.0,) * FEATURES] * len(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(m.score(rows), 9))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])), out
