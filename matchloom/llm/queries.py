@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontam, langid, toxicity, windows, xent
+from matchloom.llm import decontam, langid, minhash, toxicity, windows, xent
 from matchloom.llm.tables import load
 from matchloom.plans.ship import ship
 
@@ -26,6 +26,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.report(load(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return decontam.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op10_cross_entropy": op10_cross_entropy,
 }
