@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontam, langid, minhash, toxicity, windows, xent
+from matchloom.llm import decontam, langid, minhash, permutation, toxicity, windows, xent
 from matchloom.llm.tables import load
 from matchloom.plans.ship import ship
 
@@ -21,6 +21,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.report(load(spark, sf_dir, "documents"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return permutation.report(load(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -44,6 +49,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_permutation_index": op3_permutation_index,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,

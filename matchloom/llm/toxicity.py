@@ -32,7 +32,7 @@ from matchloom.llm.words import mix
 from matchloom.plans.scratch import materialise
 
 ORDER = 7
-TOXIC_ROWS, ORDINARY_ROWS = 3000, 5000
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 3000
 CUTOFF = 0.3
 _DISCOUNT = 0.75
 _WINDOW = 2
@@ -47,32 +47,25 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each predicted character: its word, its code, and the hashes of the 1..ORDER-grams that end there."""
-    pad = "\x02" * (ORDER - 1)
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    codes = np.frombuffer("".join(pad + w + "\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    ends = np.arange(len(owner)) + (owner + 1) * (ORDER - 1)
-    value, out = np.zeros(len(owner), np.uint64), []
-    for back in range(ORDER):
-        value = value + (codes[ends - back] + np.uint64(1)) * _POWERS[back]
-        out.append(mix(value ^ np.uint64(back + 1)))
-    return owner, codes[ends], out
-
-
-def contexts(words: list[str]) -> list[np.ndarray]:
-    """Hashes of the characters before each predicted one: none, one, ... ORDER-1 of them."""
-    pad = "\x02" * (ORDER - 1)
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    codes = np.frombuffer("".join(pad + w + "\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    ends = np.arange(len(owner)) + (owner + 1) * (ORDER - 1)
-    value, out = np.zeros(len(owner), np.uint64), [np.zeros(len(owner), np.uint64)]
-    for back in range(1, ORDER):
-        value = value + (codes[ends - back] + np.uint64(1)) * _POWERS[back - 1]
-        out.append(mix(value ^ np.uint64(back)))
-    return out
+class Positions:
+    """The predicted characters of many words, and hashes of what ends at or before each; one order at a time."""
+
+    def __init__(self, words: list[str]):
+        pad = "\x02" * (ORDER - 1)
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        self.codes = np.frombuffer("".join(pad + w + "\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        self.ends = np.arange(len(self.owner)) + (self.owner.astype(np.int64) + 1) * (ORDER - 1)
+
+    def gram(self, m: int, skip: int = 0) -> np.ndarray:
+        """Hash of the m characters that end ``skip`` before each position."""
+        value = np.zeros(len(self.ends), np.uint64)
+        for back in range(m):
+            value += (self.codes[self.ends - back - skip].astype(np.uint64) + np.uint64(1)) * _POWERS[back]
+        return mix(value ^ np.uint64(m))
+
+    def before(self, m: int) -> np.ndarray:
+        return self.gram(m, 1)
 
 
 @dataclass(frozen=True)
@@ -104,39 +97,37 @@ class KneserNey:
 
     @staticmethod
     def fit(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
-        owner, codes, gram = grams(words)
-        before = contexts(words)
-        top = Table.of(gram[-1], toxic[owner], ordinary[owner])
-        first = np.unique(gram[-1], return_index=True)[1]
-        n = top.get(gram[-1][first])
-        above = Table.of(before[-1][first], n[:, 0], n[:, 1], (n[:, 0] > 0) * 1.0, (n[:, 1] > 0) * 1.0)
-        lower, below = [], []
-        for m in range(ORDER - 1):  # an m+1-gram continues as many histories as there are distinct m+2-grams that end in it
-            distinct = np.unique(gram[m + 1], return_index=True)[1]
-            table = Table.of(gram[m][distinct], np.ones(len(distinct)))
-            each = np.unique(gram[m][distinct], return_index=True)[1]
-            at = distinct[each]
-            c = table.get(gram[m][at])[:, 0]
+        at = Positions(words)
+        top_keys = at.gram(ORDER)
+        top = Table.of(top_keys, toxic[at.owner], ordinary[at.owner])
+        first = np.unique(top_keys, return_index=True)[1]
+        n = top.get(top_keys[first])
+        above = Table.of(at.before(ORDER - 1)[first], n[:, 0], n[:, 1], (n[:, 0] > 0) * 1.0, (n[:, 1] > 0) * 1.0)
+        lower, below, longer = [], [], first
+        for m in range(ORDER - 1, 0, -1):  # an m-gram continues as many histories as there are distinct m+1-grams that end in it
+            keys = at.gram(m)[longer]
+            table = Table.of(keys, np.ones(len(keys)))
+            each = longer[np.unique(keys, return_index=True)[1]]
             lower.append(table)
-            below.append(Table.of(before[m][at], c, np.ones(len(at))))
-        return KneserNey(top, above, lower, below, max(2, len(np.unique(codes)) + 1))
+            below.append(Table.of(at.before(m - 1)[each], table.values[:, 0], np.ones(len(each))))
+            longer = each
+        return KneserNey(top, above, lower[::-1], below[::-1], max(2, len(np.unique(at.codes))))
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        owner, _, gram = grams(words)
-        before = contexts(words)
-        p = np.full(len(owner), 1.0 / self.alphabet)
+        at = Positions(words)
+        p = np.full(len(at.owner), 1.0 / self.alphabet)
         for m, (table, sums) in enumerate(zip(self.lower, self.below)):
-            c, s = table.get(gram[m])[:, 0], sums.get(before[m])
+            c, s = table.get(at.gram(m + 1))[:, 0], sums.get(at.before(m))
             seen = s[:, 0] > 0
             total = np.where(seen, s[:, 0], 1.0)
             p = np.where(seen, (np.maximum(c - _DISCOUNT, 0) + _DISCOUNT * s[:, 1] * p) / total, p)
-        c, s = self.top.get(gram[-1]), self.above.get(before[-1])
+        c, s = self.top.get(at.gram(ORDER)), self.above.get(at.before(ORDER - 1))
         sides = []
         for side in (0, 1):
             n, seen = s[:, side], s[:, side] > 0
             sides.append(np.where(seen, (np.maximum(c[:, side] - _DISCOUNT, 0) + _DISCOUNT * s[:, 2 + side] * p) / np.where(seen, n, 1.0), p))
-        return np.bincount(owner, weights=np.log(sides[0]) - np.log(sides[1]), minlength=len(words))
+        return np.bincount(at.owner, weights=np.log(sides[0]) - np.log(sides[1]), minlength=len(words))
 
 
 class Evidence(dict):
@@ -272,9 +263,12 @@ def fit(
 
         rows = stored.filter(F.col("fold") == part).select("toxic", "text").mapInArrow(run, ", ".join(["toxic int", *(f"{c} double" for c in columns)])).toPandas()
         rows = rows.sort_values([*columns, "toxic"])
+        half.destroy()
         x.append(rows[columns].to_numpy()), y.append(rows["toxic"].to_numpy(float))
     x, y = np.concatenate(x), np.concatenate(y)
     weights = logistic(np.concatenate((x, np.ones((len(x), 1))), 1), y)
+    # the sample holds a larger share of the toxic rows: back to the odds of all labelled rows
+    weights[-1] += np.log(n[1] / n[0]) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
     return Model(counts(np.ones(len(at), bool)), weights, float(y.mean()))
 
 
