@@ -4,11 +4,12 @@ A vector is represented by its ``prefix`` nearest pivots in order, and posted in
 first of them. The index is cut into segments of bounded size, each with its own inverted files; queries come in
 blocks, and a block meets each segment in one group. A query visits the files of its own nearest pivots, ranks what it
 finds by footrule distance (the summed differences of a pivot's places in the two orders; a missing pivot stands at
-place ``prefix``), reranks the best ``share`` of the segment by exact Euclidean distance, and hands on its best k + 1.
+place ``prefix``), reranks the best ``share`` of the segment, and all that is very near, by exact Euclidean distance, and hands on its
+best k + 1.
 
 Equal vectors form a class; only classes are posted, and a class keeps its smallest member ids, so copies neither fill
-a file nor hide other neighbours, and ties are settled exactly. The pivots are a bounded sample of the classes, chosen
-by a hash; their number grows with the square root of the table up to ``MOST_PIVOTS``, and only they are broadcast.
+a file nor hide other neighbours, and ties are settled exactly. The pivots are spread rows of a bounded sample of the
+classes; their number grows with the square root of the table up to ``MOST_PIVOTS``, and only they are broadcast.
 A query that finds fewer than ``k`` is answered exactly, by a scan of all classes.
 
 The given vectors are close to uniform on a sphere, where all distances are alike: hence the long orders and the large
@@ -36,6 +37,8 @@ MOST_PIVOTS = 2048
 PREFIX, POSTED = 96, 32
 #: Part of a segment that is reranked, and the least number.
 SHARE, LEAST = 0.15, 400
+#: Whatever is nearer than this part of the median footrule distance is reranked too, however many these are.
+NEAR = 0.5
 SEGMENT_ROWS = 8_000
 _QUERIES = 512
 
@@ -98,6 +101,16 @@ def footrule(query: np.ndarray, posted: np.ndarray, n_pivots: int) -> np.ndarray
     return np.abs(at - np.arange(prefix, dtype=np.int16)).sum(1, dtype=np.int32) + gap
 
 
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """n rows of a sample that lie far apart: each next one is the farthest from those before."""
+    chosen = [0]
+    far = ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < n:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distance of each row of x to y, every row by itself, in double precision."""
     return np.sqrt(((x - y) ** 2).sum(1))
@@ -137,7 +150,9 @@ def _visit(n_pivots: int, posted_prefix: int, share: float, least: int, k: int):
                 found = np.flatnonzero(met)
                 if len(found) > keep:
                     far = footrule(mine, order[found], n_pivots)
-                    found = found[np.lexsort((first[found], far))[:keep]]
+                    best = np.lexsort((first[found], far))
+                    close = np.searchsorted(far[best], NEAR * np.median(far), side="right")
+                    found = found[best[: max(keep, close)]]
                 score = distances(x[found], v)
                 best = np.lexsort((first[found], score))[: k + 1]
                 out["query"] += [q] * len(best)
@@ -197,8 +212,8 @@ def search(
     classes = materialise(classes_of(vectors, k), "classes")
     n = classes.count()
     wanted = int(min(most_pivots, max(32, 2 * n**0.5), n))
-    chosen = classes.orderBy(F.xxhash64("class", F.lit("pivot")), "class").limit(wanted).select("v").collect()
-    pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in chosen]))
+    chosen = classes.orderBy(F.xxhash64("class", F.lit("pivot")), "class").limit(4 * wanted).select("v").collect()
+    pivots = spark.sparkContext.broadcast(spread(np.array([r["v"] for r in chosen]), wanted))
     queries = materialise(vectors.filter(is_query).select(F.col("id").alias("query"), F.col("v").alias("qv")), "queries")
 
     segments, blocks = n // segment_rows + 1, queries.count() // _QUERIES + 1
