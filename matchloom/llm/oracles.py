@@ -65,8 +65,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
+PREFERENCES = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+),
+l AS (SELECT conv_id, arg_max(text, i) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (
+  SELECT conv_id, i, role, text FROM t WHERE NOT (i = n AND role = 'assistant')
+  UNION ALL
+  SELECT t.conv_id, t.i, 'assistant', l.text FROM t JOIN l ON l.conv_id = xor(t.conv_id, 1) WHERE t.i = t.n AND t.role = 'assistant'
+),
+k AS (
+  SELECT t.conv_id, coalesce(min(t.i) FILTER (r.i IS NULL OR r.role <> t.role OR r.text <> t.text) - 1, max(t.n)) AS n_common
+  FROM t LEFT JOIN r ON r.conv_id = t.conv_id AND r.i = t.i GROUP BY t.conv_id
+),
+s AS (SELECT 'c' AS side, conv_id, i, role, text FROM t UNION ALL SELECT 'r', conv_id, i, role, text FROM r),
+m AS (
+  SELECT s.side, s.conv_id, s.i, s.role, i <= n_common AS common, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head,
+    '<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM s JOIN k USING (conv_id)
+),
+p AS (
+  SELECT *, sum(length(body)) OVER (PARTITION BY side, conv_id ORDER BY i) AS till FROM m
+)
+SELECT k.conv_id, CAST(k.n_common AS BIGINT) AS n_common,
+  coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'c' AND common), '') AS prompt,
+  coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'c' AND NOT common), '') AS chosen,
+  coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'r' AND NOT common), '') AS rejected,
+  coalesce(string_agg((till - length(body) + length(head)) || '-' || till, ',' ORDER BY i) FILTER (side = 'c' AND NOT common AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((till - length(body) + length(head)) || '-' || till, ',' ORDER BY i) FILTER (side = 'r' AND NOT common AND role = 'assistant'), '') AS rejected_spans,
+  count(*) FILTER (NOT common) = 0 AS identical
+FROM k JOIN p USING (conv_id) GROUP BY k.conv_id, k.n_common
+"""
+
 ORACLES = {
     "op2_substring_dedup": SUBSTRINGS,
     "op5_minhash_near_dedup": NEAR_DUPLICATES,
     "op6_decontamination": DECONTAMINATION,
+    "op9_chat_formatting": PREFERENCES,
 }
