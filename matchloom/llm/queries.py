@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import chat, decontam, langid, minhash, permutation, pieces, toxicity, windows, xent
+from matchloom.llm import chat, decontam, langid, lines, minhash, permutation, pieces, toxicity, windows, xent
 from matchloom.llm.tables import load
 from matchloom.plans.ship import ship
 
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(load(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pieces.report(load(spark, sf_dir, "documents"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_fuzzy_line_dedup": op7_fuzzy_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_cross_entropy": op10_cross_entropy,
