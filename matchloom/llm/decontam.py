@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.tables import col
+from matchloom.llm.tables import col, fresh
 from matchloom.llm.words import WordHashes, letter_words, rolling
 
 #: Words of benchmark items in one broadcast part (some 100 bytes each as windows).
@@ -90,24 +90,18 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     part_words: int = PART_WORDS,
-) -> DataFrame:
-    """All columns of ``docs`` plus ``__hit``: n_words, merged word spans that are hit, and the items found."""
-    if "__hit" in docs.columns:
-        raise ValueError("reserved column name in the input: __hit")
+) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` plus a struct of n_words, merged word spans that are hit, and items found; and its name.
+
+    Item ids must be of a whole-number or string type.
+    """
+    (out,) = fresh(docs.columns, "benchmark_hits")
     id_type = bench.schema[item_col].dataType
-    hit = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-            T.StructField("items", T.ArrayType(id_type)),
-        ]
-    )
+    arrow_id = pa.string() if isinstance(id_type, T.StringType) else {"int": pa.int32(), "bigint": pa.int64()}[id_type.simpleString()]
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(p) for p in benchmark_parts(bench, n, item_col, item_text_col, part_words)]
-    arrow_id = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[id_type]
-    arrow_hit = pa.struct(
-        [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(arrow_id))]
-    )
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(arrow_id))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
@@ -121,34 +115,52 @@ def scan(
                     more, ids = find_hits(words, hashes, part.value)
                     spans += more
                     items |= ids
-                found.append(
-                    {"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in merge(spans)], "items": sorted(items)}
-                )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, arrow_hit)], names=[*batch.schema.names, "__hit"]
-            )
+                found.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in merge(spans)], "items": sorted(items)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, out])
+
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    hit = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("items", T.ArrayType(id_type))])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, hit)])), out
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__hit", hit)]))
+def _n_hit(hit: Column) -> Column:
+    return F.aggregate(hit["spans"], F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
 
 
-def report(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """One row for each document: word count, words hit, items found and their digest."""
-    scanned = scan(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), bench, n)
-    hit = F.col("__hit")
-    n_hit = F.aggregate(hit["spans"], F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    scanned, out = scan(docs.select("doc_id", "text"), bench, n)
+    hit = F.col(out)
     names = F.array_sort(F.transform(hit["items"], lambda i: i.cast("string")))
     return scanned.select(
         "doc_id",
         hit["n_words"].alias("n_words"),
-        n_hit.alias("n_hit"),
+        _n_hit(hit).alias("n_hit"),
         F.size(hit["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        (F.size(hit["spans"]) > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, share: float = 0.0) -> DataFrame:
     """Documents of which no more than ``share`` of the words are hit; columns as given."""
-    hit = F.col("__hit")
-    n_hit = F.aggregate(hit["spans"], F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return scan(docs, bench, n).filter(n_hit <= hit["n_words"] * F.lit(share)).drop("__hit")
+    scanned, out = scan(docs, bench, n)
+    hit = F.col(out)
+    return scanned.filter(_n_hit(hit) <= hit["n_words"] * F.lit(share)).drop(out)
+
+
+def remove_spans(docs: DataFrame, bench: DataFrame, n: int = 10, text_col: str = "text") -> tuple[DataFrame, str]:
+    """All columns of ``docs`` plus its words that are not hit, joined by one space; and the name of that column."""
+    scanned, hits = scan(docs, bench, n, text_col)
+    (out,) = fresh(scanned.columns, "clean_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = batch.schema.get_field_index(hits), []
+            for text, hit in zip(batch.column(text_col).to_pylist(), batch.column(at).to_pylist()):
+                words, gone = letter_words(text), {i for s in hit["spans"] for i in range(s["start"], s["end"])}
+                rows.append(b" ".join(w for i, w in enumerate(words) if i not in gone).decode("utf-8", "surrogatepass"))
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(rows, pa.string())], names=[*(batch.schema.names[i] for i in rest), out])
+
+    return scanned.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])), out

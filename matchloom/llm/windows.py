@@ -18,7 +18,6 @@ never remove words of each other. Rows with a null id take no part and keep all
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.tables import col, parts_for, text_bytes
+from matchloom.llm.tables import col, fresh, parts_for, text_bytes
 from matchloom.llm.words import WordHashes, blank_words, mix, rolling, sliding_min
 
 WINDOW = 13
@@ -181,39 +180,30 @@ def cut(words: list[bytes], spans) -> tuple[list[bytes], int]:
     return kept, len(words) - len(kept)
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``__cut``: n_words, n_removed and the kept words joined by one space."""
-    if clash := {"__cut", "__mark", "__id", "__spans"} & set(docs.columns):
-        raise ValueError(f"reserved column names in the input: {sorted(clash)}")
-    spans = repeated_spans(docs, k, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__m", F.xxhash64(col(text_col))) if "__m" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("reserved column name in the input: __m")
-    joined = keyed.join(spans, (col(id_col).cast("long") == F.col("__id")) & (F.col("__m") == F.col("__mark")), "left").drop("__m", "__mark", "__id")
+def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """All columns of ``docs`` plus a struct of n_words, n_removed and the kept words joined by one space; and its name."""
+    out, mark, one, two, three = fresh(docs.columns, "cut", "mark", "cut_id", "cut_mark", "spans")
+    spans = repeated_spans(docs, k, id_col, text_col).select(F.col("doc_id").alias(one), F.col("mark").alias(two), F.col("spans").alias(three))
+    keyed = docs.withColumn(mark, F.xxhash64(col(text_col)))
+    joined = keyed.join(spans, (col(id_col).cast("long") == F.col(one)) & (F.col(mark) == F.col(two)), "left").drop(mark, one, two)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_at = batch.schema.get_field_index("__spans")
-            out = []
-            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(spans_at).to_pylist()):
+            at, rows = batch.schema.get_field_index(three), []
+            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(at).to_pylist()):
                 words = blank_words(text)
                 kept, n = cut(words, gone)
-                out.append({"n_words": len(words), "n_removed": n, "text": b" ".join(kept).decode("utf-8", "surrogatepass")})
-            arrays = [c for i, c in enumerate(batch.columns) if i != spans_at]
-            names = [c for c in batch.schema.names if c != "__spans"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, kind)], names=[*names, "__cut"])
+                rows.append({"n_words": len(words), "n_removed": n, "text": b" ".join(kept).decode("utf-8", "surrogatepass")})
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(rows, kind)], names=[*(batch.schema.names[i] for i in rest), out])
 
-    cut_type = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__cut", cut_type)]))
+    field = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, field)])), out
 
 
 def report(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """One row for each document: words, words removed, and the digest of what is left."""
-    got = remove_repeats(docs.select("doc_id", "text"), k)
-    c = F.col("__cut")
+    got, out = remove_repeats(docs.select("doc_id", "text"), k)
+    c = F.col(out)
     return got.select("doc_id", c["n_words"].alias("n_words"), c["n_removed"].alias("n_removed"), F.sha2(c["text"].cast("binary"), 256).alias("kept_sha256"))
-
-
-def digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 _CACHE_WORDS = 200_000
@@ -69,15 +66,3 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
         x = np.minimum(x[: len(x) - width], x[width:])
         width *= 2
     return np.minimum(x[: len(x) - (k - width)], x[k - width :]) if width < k else x
-
-
-def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int) -> Iterator[pa.Table]:
-    """Regroup batches into tables of about ``limit`` text bytes; a longer text is a table by itself."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = np.array([len(s) if s else 0 for s in batch.column(text_col).to_pylist()], np.int64)
-        block = np.cumsum(lengths) // limit
-        edges = np.flatnonzero(np.diff(block)) + 1
-        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-            yield pa.Table.from_batches([batch.slice(a, b - a)])
