@@ -2,7 +2,7 @@
 
 from matchloom.config import ScanConfig, apply_mappings, scan_prefix, validate_config
 from matchloom.plans.jobs import dedupe, map_to_master, resume, review
-from matchloom.plans.scratch import clear_scratch
+from matchloom.plans.scratch import clear_scratch, scratch_scope
 
 __all__ = [
     "ScanConfig",
@@ -13,5 +13,6 @@ __all__ = [
     "resume",
     "review",
     "scan_prefix",
+    "scratch_scope",
     "validate_config",
 ]

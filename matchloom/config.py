@@ -72,6 +72,7 @@ def validate_config(df: DataFrame, master: DataFrame | None, cfg: ScanConfig) ->
 
 def scan_prefix(master_mode: bool) -> dict[str, str]:
     """The labels that depend on the mode."""
+    # Labels of columns, files and actions.
     if master_mode:
         return {
             "mode": "master",

@@ -33,7 +33,7 @@ CHUNK_ROWS_MIN, CHUNK_ROWS_MAX = 256, 16384
 CHUNK_BYTES = 32 << 20
 # a signature route costs a shuffle of every item's signatures; below this many pairs it never pays
 DIRECT_PAIRS = 500_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 PAIR_SCHEMA = "pos_a long, pos_b long, raw double"
 
 
@@ -262,7 +262,7 @@ def by_bands(items: DataFrame, counts, reach, scorer: Scorer, shape: Shape, limi
     spark = items.sparkSession
     # one row per distinct band (text length): bounded by the longest text, not by the data
     table = spark.createDataFrame(spans, "band long, first int, splits int, low int, high int")
-    if len(spans) <= BROADCAST_ROWS:
+    if 40 * len(spans) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     placed = (
         items.join(table, "band")
@@ -316,7 +316,8 @@ def signature_cost(stats: DataFrame, mirrored: bool, limit: int) -> tuple[float,
 
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast a table of hot signatures, at most rows / limit of them, if its checked size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    wide = F.sum(F.octet_length(F.col("sig").cast("string")) + 40)
+    return F.broadcast(df) if (df.agg(wide).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def by_signatures(signed: DataFrame, stats: DataFrame, rows: int, scorer: Scorer, shape: Shape, limit: int) -> DataFrame:

@@ -16,7 +16,7 @@ RID, KEY = "__rid", "__key"
 def with_row_order(df: DataFrame, order_col: str | None = None) -> DataFrame:
     """Add the row position that every tie rule rests on.
 
-    ``order_col`` must be a whole-number column without repeats. Without one the scan order is taken,
+    ``order_col`` must be a whole-number column without repeats or gaps (``check_row_order``). Without one the scan order is taken,
     which is only fixed once the result is stored: ``catalogue`` does that before any second use.
     """
     clash = [n for n in df.columns if n in (RID, KEY)]
@@ -29,6 +29,19 @@ def with_row_order(df: DataFrame, order_col: str | None = None) -> DataFrame:
     return df.withColumn(RID, ref(order_col).cast("bigint"))
 
 
+def check_row_order(df: DataFrame) -> None:
+    """Raise unless every row has a position of its own: positions stand for keys from here on.
+
+    One aggregation over one column; a position that many rows share is combined before the shuffle.
+    """
+    per = df.groupBy(RID).agg(F.count(F.lit(1)).alias("n"))
+    missing = F.col(RID).isNull()
+    seen = per.agg(F.count_if(missing).alias("missing"), F.count_if((F.col("n") > 1) & ~missing).alias("repeated")).first()
+    if seen["missing"] or seen["repeated"]:
+        what = "missing values" if seen["missing"] else f"{seen['repeated']} repeated values"
+        raise ValueError(f"the order column needs one number of its own for each row; it has {what}")
+
+
 def head_sample(df: DataFrame, n: int = 100) -> DataFrame:
     """The first n rows by position, taken before any cleaning."""
     return df.orderBy(RID).limit(n)

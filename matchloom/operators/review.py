@@ -22,6 +22,17 @@ def trim_note(note: Column) -> Column:
     return F.coalesce(strip_text(note), F.lit(""))
 
 
+def one_session(events: DataFrame, session: str | None = None) -> DataFrame:
+    """The log of one session. Raises if several are met without a choice, or if a number occurs twice."""
+    if session is not None:
+        events = events.filter(F.col("session") == session)
+    elif len(events.select("session").distinct().limit(2).collect()) > 1:
+        raise ValueError("the log holds several sessions; name one")
+    if not events.groupBy("session", "seq").count().filter("seq is null or count > 1").isEmpty():
+        raise ValueError("seq must be one number of its own for each event of a session")
+    return events
+
+
 def replay_index(events: DataFrame) -> DataFrame:
     """Add ``idx``, the position after each event, and ``touched``, the 0-based match it concerns.
 
@@ -30,7 +41,7 @@ def replay_index(events: DataFrame) -> DataFrame:
     long session is spread over many tasks.
     """
     step = F.when(F.col("choice") == "U", -1).otherwise(1)
-    blocked = events.withColumn("__step", step).withColumn("__block", F.floor(F.col("seq") / SEQ_BLOCK))
+    blocked = events.withColumn("__step", step).withColumn("__block", F.expr(f"seq div {SEQ_BLOCK}"))
     inside = Window.partitionBy("session", "__block").orderBy("seq")
     run = blocked.withColumn("__sum", F.sum("__step").over(inside))
     # lowest running sum before each event, within its block
@@ -89,6 +100,7 @@ def final_selection(choice: Column) -> Column:
 
 
 def action(choice: Column, master_mode: bool) -> Column:
+    # The actions.
     return (
         F.when(choice == "A", "Kept Original")
         .when(choice == "B", scan_prefix(master_mode)["override"])

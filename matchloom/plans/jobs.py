@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from matchloom.config import SAMPLE_ROWS, ScanConfig, validate_config
 from matchloom.operators.fuzzy import fuzzy_join, fuzzy_self_join
-from matchloom.operators.keys import catalogue, key_spans, keyed, rows_for, with_row_order
+from matchloom.operators.keys import catalogue, check_row_order, key_spans, keyed, rows_for, with_row_order
 from matchloom.operators.matches import attach_rows, build_matches, rank_matches
 from matchloom.operators.report import review_summary
-from matchloom.operators.review import decision_records, effective_decisions, in_range, pending_matches, replay_index
+from matchloom.operators.review import decision_records, effective_decisions, in_range, one_session, pending_matches, replay_index
 from matchloom.operators.tfidf import tfidf_join, tfidf_self_join
 from matchloom.plans.scratch import materialise
 from matchloom.plans.ship import ship
-from matchloom.sources.session import load_session
+from matchloom.sources.session import finish_session, load_session
 from matchloom.sources.tables import export_decisions
 
 _SELF = {"fuzzy": fuzzy_self_join, "tfidf": tfidf_self_join}
@@ -59,6 +59,8 @@ class _Side:
         # positions from a column mean the same in every scan; positions from the scan order do not, so
         # then the rows are stored along with the keys
         self.fixed = order_col is not None
+        if self.fixed:
+            check_row_order(self.ordered)
         source = keyed(df, cols, order_col, sample)
         self.stored = materialise((key_spans if self.fixed else catalogue)(source), "keys")
 
@@ -137,12 +139,21 @@ def review(
     folder: str | None = None,
     stem: str = "table",
     fmt: str = "csv",
+    session: str | None = None,
+    session_path: str | None = None,
 ) -> Review:
-    """Apply one session's log to the matches; with a folder, write the outcome."""
+    """Apply one session's log to the matches; with a folder, write the outcome.
+
+    A log of several sessions needs ``session`` to name one of them. With the path of a stored session, that
+    session is marked as finished once no match is pending.
+    """
+    events = one_session(events, session)
     replayed = in_range(replay_index(events), matches.count())
     decisions = materialise(effective_decisions(replayed).drop("session"), "decisions")
     records = decision_records(matches, decisions, master_mode, primary_id, master_id)
     files = export_decisions(records, folder, stem, master_mode, fmt) if folder else {}
+    if session_path and pending_matches(matches, decisions).isEmpty():
+        finish_session(matches.sparkSession, session_path)
     return Review(decisions, records, review_summary(decisions, matches), files)
 
 
@@ -156,8 +167,10 @@ class Resumed:
 
 
 def resume(spark: SparkSession, path: str) -> Resumed:
-    """Pick up a stored session."""
+    """Pick up a stored session. A finished one is not resumed."""
     s = load_session(spark, path)
+    if s.finished:
+        raise ValueError(f"the review session is finished: {path}")
     done = review(s.matches, s.events, s.is_master_mode, s.primary_id, s.master_id)
     pending = pending_matches(s.matches, done.decisions).orderBy(F.col("match_id"))
     return Resumed(done, pending, s.is_master_mode)

@@ -10,11 +10,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local: list[str] = []
 _written: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("scratch_owner", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,17 +35,37 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    mine = _owner.get()
+    (_written if mine is None else mine).append(path)
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables this process wrote. Results not yet saved elsewhere become unreadable."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables written outside any scope. Results not yet saved elsewhere become unreadable."""
+    _delete(spark, _written)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediate tables written inside: they go when the block ends, on success and on failure.
+
+    Results must be saved elsewhere before that. Scopes of other threads, and the tables outside, stay.
+    """
+    mine: list[str] = []
+    token = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        _delete(spark, mine)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back."""
     spark = df.sparkSession

@@ -70,15 +70,23 @@ def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     return reader.csv(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+def has_split_records(spark: SparkSession, path: str) -> bool:
+    """Does a record span lines? Only then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool | None = None) -> DataFrame:
     """A delimited file with a header, types inferred, or a Parquet table.
 
-    ``multiline=False`` lets Spark split large files, for data without line breaks inside cells.
+    Large files are split unless a cell holds a line break; one splittable pass finds out. ``multiline`` skips it.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError("fmt must be csv or parquet")
+    if multiline is None:
+        multiline = has_split_records(spark, path)
     return infer_types(normalise_missing(_csv(spark, path, multiline)))
 
 

@@ -143,3 +143,59 @@ def test_clear_scratch(spark, tmp_path, monkeypatch):
     assert any(tmp_path.iterdir())
     matchloom.clear_scratch(spark)
     assert not any(tmp_path.iterdir())
+
+
+def test_scratch_scope(spark, tmp_path, monkeypatch):
+    """Tables of a scope go with it, also after an error; those of another stay readable."""
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(scratch, "_written", [])
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab ce")], "id long, name string")
+    outer = matchloom.dedupe(df, ["name"], cutoff=50, order_col="id")
+    before = set(tmp_path.iterdir())
+    with pytest.raises(RuntimeError), matchloom.scratch_scope(spark):
+        assert matchloom.dedupe(df, ["name"], cutoff=50, order_col="id").count() == 1
+        assert set(tmp_path.iterdir()) > before
+        raise RuntimeError
+    assert set(tmp_path.iterdir()) == before and outer.count() == 1
+
+
+@pytest.mark.parametrize("ids, what", [((1, 1, 2), "repeated"), ((1, None, 2), "missing")])
+def test_order_column_must_be_unique(spark, ids, what):
+    df = spark.createDataFrame([(i, f"name {n}") for n, i in enumerate(ids)], "id long, name string")
+    for make in (lambda: matchloom.dedupe(df, ["name"], order_col="id"), lambda: matchloom.map_to_master(df, df, cols=["name"], master_cols=["name"], master_order_col="id")):
+        with pytest.raises(ValueError, match=what):
+            make()
+
+
+def test_negative_order_column(spark):
+    df = spark.createDataFrame([(-5, "acme steel works"), (-2, "acme steel work"), (7, "bravo trading")], "id long, name string")
+    got = matchloom.dedupe(df, ["name"], order_col="id").collect()
+    assert [(r["pos_a"], r["pos_b"]) for r in got] == [(-5, -2)]
+
+
+def test_several_sessions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab ce")], "id long, name string")
+    found = matchloom.dedupe(df, ["name"], cutoff=50, order_col="id")
+    events = spark.sql("SELECT s AS session, 1L AS seq, timestamp_seconds(0) AS ts, c AS choice, '' AS note FROM VALUES ('x', 'A'), ('y', 'B') AS t(s, c)")
+    with pytest.raises(ValueError, match="several sessions"):
+        matchloom.review(found, events, False)
+    for name, action in (("x", "Kept Original"), ("y", "Merged Duplicate")):
+        done = matchloom.review(found, events, False, session=name)
+        assert [r["Action"] for r in done.records.collect()] == [action]
+        assert tuple(done.summary.first()) == (1, 0, 0, 0)
+    with pytest.raises(ValueError, match="seq"):
+        matchloom.review(found, events.unionAll(events), False, session="x")
+
+
+def test_finished_session(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ab cd"), (2, "ab ce")], "id long, name string")
+    path = str(tmp_path / "s")
+    session.save_session(path, matchloom.dedupe(df, ["name"], cutoff=50, order_col="id"))
+    s = session.load_session(spark, path)
+    none = s.events
+    matchloom.review(s.matches, none, False, session_path=path)
+    assert matchloom.resume(spark, path).pending.count() == 1
+    events = spark.sql("SELECT 'x' AS session, 1L AS seq, timestamp_seconds(0) AS ts, 'A' AS choice, '' AS note")
+    matchloom.review(s.matches, events, False, session_path=path)
+    with pytest.raises(ValueError, match="finished"):
+        matchloom.resume(spark, path)

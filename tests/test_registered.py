@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from matchloom.plans.registered import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,7 +30,7 @@ def rows(df: pd.DataFrame):
     return sorted(tuple(plain(v) for v in r) for r in ordered.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = entry_points.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry_points.oracle_sql()[name]).fetchdf()
