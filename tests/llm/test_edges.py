@@ -183,10 +183,10 @@ def test_cross_entropy(spark, docs, none, wide):
 
 
 @pytest.mark.parametrize("stage", range(5))
-def test_stage(spark, docs, none, wide, bench, tmp_path, stage):
+def test_stage(spark, none, wide, bench, tmp_path, stage):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     name, run = corpus_pipeline.STAGES[stage]
-    for table in (docs, none, wide):
+    for table in (none, wide):
         got = run(spark, table, str(tmp_path))
         assert got.columns[: len(table.columns)] == table.columns
         assert got.dtypes[: len(table.columns)] == table.dtypes

@@ -77,7 +77,7 @@ def texts_with_copies(seed, n=120, vocabulary=400, length=60, change=0.03):
     return list(enumerate(out[:n]))
 
 
-@pytest.mark.parametrize("limits", [{}, {"leaf_rows": 4, "depth": 3}, {"leaf_rows": 3, "leaf_hashes": 200, "depth": 2, "trees": 8}])
+@pytest.mark.parametrize("limits", [{"leaf_rows": 4, "depth": 3}, {"leaf_rows": 3, "leaf_hashes": 200, "depth": 2, "trees": 8}])
 def test_near_duplicates_against_all_pairs(spark, limits):
     """Small leaves and depths send nodes through branching, chunks and the tiles of what is left."""
     rows = texts_with_copies(3) + [(1000 + i, t) for i, t in texts_with_copies(4, 60, change=0.005, length=80)[:1] * 5]
