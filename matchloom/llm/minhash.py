@@ -10,10 +10,10 @@ and in bytes, are leaves: their full sets are compared exhaustively, and links w
 ``100 * intersection >= percent * union`` connect their classes. A pair at the threshold meets in a tree with a
 probability of at least 0.64 if its nodes are leaves at once; ``TREES`` trees leave it apart with less than 1e-5.
 
-The first trees run by themselves: what they connect is one component afterwards, and in later trees a node whose
-members are all of one component is left out, so large groups of copies are not compared again and again. A node that
-is still too large at the last depth is cut into chunks that all hold its first member; whatever remains outside its
-largest component is then compared with all chunks, so no pair of such a node is lost.
+Leaves with the same first member meet in one group, so a class's set travels once for all the trees in which it meets
+the same neighbours, and a leaf returns only as many links as connect its members. A node that is still too large at
+the last depth is cut into chunks that all hold its first member; whatever remains outside its largest component is
+then compared with all chunks, so no pair of such a node is lost.
 
 Nothing is collected but counts. Sets travel only for members of leaves. Null and blank texts have empty sets and are
 linked with nothing. Rows with the same id are separate documents if their sets differ. A class whose ids are all null
@@ -37,9 +37,8 @@ from matchloom.plans.scratch import materialise, materialise_counted
 
 COORDINATES = 64
 TREES = 12
-FIRST_TREES = 2
 DEPTH = 12
-LEAF_ROWS = 200
+LEAF_ROWS = 800
 LEAF_HASHES = 400_000
 _BUCKET_HASHES = 600_000
 _SET_SCHEMA = "doc_id long, mark long, n long, key binary, sketch binary"
@@ -140,34 +139,37 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of similar sets, as few as connect what all links connect."""
+    """Connected sets, each paired with the first of its component: what all links of similar sets connect."""
     both = overlaps(sets)
     size = np.diag(both)
     similar = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     left, out = set(range(len(sets))), []
     while left:
-        front = [left.pop()]
+        root = min(left)
+        left.discard(root)
+        front = [root]
         while front:
             i = front.pop()
             for j in [j for j in np.flatnonzero(similar[i]).tolist() if j in left]:
                 left.discard(j)
-                out.append((i, j))
+                out.append((root, j))
                 front.append(j)
     return out
 
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending"), ("key", "ascending")])
-        node, keys, raw = table["node"].to_numpy(), table["key"].to_pylist(), table["hashes"].to_pylist()
-        edges = np.flatnonzero(np.diff(node, prepend=node[0] + 1))
+        # rows that repeat id and text bring the same set twice
+        sets = {key: np.frombuffer(raw, np.uint64) for key, raw in zip(table["key"].to_pylist(), table["hashes"].to_pylist())}
+        met: dict[int, set[bytes]] = {}
+        for key, nodes in zip(table["key"].to_pylist(), table["nodes"].to_pylist()):
+            for node in nodes:
+                met.setdefault(node, set()).add(key)
         a, b = [], []
-        for i, j in zip(edges, [*edges[1:], len(node)]):
-            rows = [r for r in range(i, j) if r == i or keys[r] != keys[r - 1]]
-            if len(rows) > 1:
-                for x, y in spanning_links([np.frombuffer(raw[r], np.uint64) for r in rows], percent):
-                    a.append(keys[rows[x]])
-                    b.append(keys[rows[y]])
+        for members in sorted({tuple(sorted(keys)) for keys in met.values() if len(keys) > 1}):
+            for x, y in spanning_links([sets[key] for key in members], percent):
+                a.append(members[x])
+                b.append(members[y])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
@@ -185,17 +187,17 @@ class Join:
         self.known: DataFrame | None = None
 
     def leaves(self, trees: range) -> tuple[DataFrame, DataFrame | None]:
-        """Members of leaves, and of nodes that are too large at the last depth: ``node, key, n``."""
+        """Members of leaves, ``node, key, n, first``, and of nodes that are too large at the last depth."""
         level = self.classes.mapInArrow(_roots(trees), "node long, key binary, n long")
         out, rest = None, None
         for depth in range(2, self.depth + 1):
             stored = materialise(level, "level")
-            stats = stored.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter("c > 1")
+            stats = stored.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("key").alias("first")).filter("c > 1")
             large = (F.col("c") > self.leaf_rows) | (F.col("w") > self.leaf_hashes)
             met, seen = materialise_counted(
-                stored.join(stats.select("node", large.alias("large")), "node"), "members", large=F.count_if("large")
+                stored.join(stats.select("node", "first", large.alias("large")), "node"), "members", large=F.count_if("large")
             )
-            mine = met.filter("not large").select("node", "key", "n")
+            mine = met.filter("not large").select("node", "key", "n", "first")
             out = mine if out is None else out.unionAll(mine)
             if not seen["large"]:
                 break
@@ -213,8 +215,8 @@ class Join:
         return named.join(mixed, "node", "left_semi")
 
     def compare(self, members: DataFrame) -> None:
-        """Compare the full sets inside each node and connect what is similar."""
-        members, seen = materialise_counted(self.open_nodes(members).select("node", "key", "n"), "leaves", rows=F.count(F.lit(1)), hashes=F.sum("n"))
+        """Compare the full sets inside each node of ``node, key, n, first`` and connect what is similar."""
+        members, seen = materialise_counted(members, "leaves", rows=F.count(F.lit(1)), hashes=F.sum("n"))
         if not seen["rows"]:
             return
         wanted = materialise(members.select("key").distinct().join(self.classes.select("key", "doc"), "key"), "wanted")
@@ -234,11 +236,11 @@ class Join:
 
         texts = self.docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text").mapInArrow(hashes, "key binary, hashes binary")
         buckets = parts_for(members, seen["hashes"], _BUCKET_HASHES)
-        placed = members.select(F.pmod(F.xxhash64("node"), F.lit(buckets)).alias("bucket"), "node", "key").join(texts, "key")
+        bucket = F.pmod(F.xxhash64("first"), F.lit(buckets)).alias("bucket")
+        placed = members.groupBy(bucket, "key").agg(F.collect_set("node").alias("nodes")).join(texts, "key")
         links = placed.groupBy("bucket").applyInArrow(_compare(self.percent), "a binary, b binary")
-        before = [] if self.known is None else [self.known.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-        for more in before:
-            links = links.unionAll(more)
+        if self.known is not None:
+            links = links.unionAll(self.known.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.known = components(links)
 
     def chunked(self, large: DataFrame) -> None:
@@ -249,7 +251,7 @@ class Join:
         placed = large.join(stats.select("node", "first", size.alias("chunks")), "node").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
         spread = placed.withColumn("at", F.explode(F.when(F.col("key") == F.col("first"), everywhere).otherwise(F.array("chunk"))))
-        self.compare(spread.select(F.xxhash64("node", "at").alias("node"), "key", "n"))
+        self.compare(spread.select(F.xxhash64("node", "at").alias("node"), "key", "n", F.xxhash64("node", "at").cast("string").cast("binary").alias("first")))
         open_rows = materialise(self.open_nodes(large), "open")
         per = open_rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
         most = per.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
@@ -262,7 +264,7 @@ class Join:
         left = rows.filter("side").withColumn("i", F.explode(one)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("j", F.pmod(h, F.col("chunks")).cast("int"))
         both = left.select("node", "i", "j", "key", "n").unionAll(right.select("node", "i", "j", "key", "n"))
-        self.compare(both.select(F.xxhash64("node", "i", "j").alias("node"), "key", "n").distinct())
+        self.compare(both.select(F.xxhash64("node", "i", "j").alias("node"), "key", "n", F.xxhash64("node", "i", "j").cast("string").cast("binary").alias("first")).distinct())
 
 
 def near_duplicates(
@@ -281,13 +283,10 @@ def near_duplicates(
     and, to tell rows and components apart: mark (xxhash64 of the text) and group (null for empty sets).
     """
     join = Join(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), k, percent, leaf_rows, leaf_hashes, depth)
-    first = min(FIRST_TREES, trees)
-    for some in (range(first), range(first, trees)):
-        if len(some):
-            members, rest = join.leaves(some)
-            join.compare(members)
-            if rest is not None:
-                join.chunked(rest)
+    members, rest = join.leaves(range(trees))
+    join.compare(members)
+    if rest is not None:
+        join.chunked(rest)
     names = join.classes.select("key", "doc", F.col("key").alias("group"))
     if join.known is not None:
         whose = join.known.select(F.col("node").alias("key"), F.col("component").alias("root")).join(names, "key")
