@@ -32,7 +32,8 @@ from matchloom.llm.tables import col, fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_CACHE_SEGMENTS = 250_000
+_CACHE_SEGMENTS = 150_000
+_ROWS = 200
 #: Longer segments merge by a heap, one by one.
 _ROUNDS = 200
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -287,8 +288,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> tuple[Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
                 ids = list(encoder.encode(some.column(text_col).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*some.columns, _lists(ids)], names=[*some.schema.names, out])
 
@@ -302,8 +303,11 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids") -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, shared.value) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
+                # one row's ids at a time: as Python numbers they take ten times the room
+                texts = [decode_ids(ids.values.to_pylist(), shared.value) if ids.is_valid else None for ids in some.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])), out
 
