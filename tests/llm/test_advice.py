@@ -40,3 +40,11 @@ def test_near_lines_meet_once(spark, classes):
     far = {(i, j): (sims[i] ^ sims[j]).bit_count() for i, j in itertools.combinations(range(len(sims)), 2)}
     assert len(got) == len(set(got)) and all(far[p] <= lines.BITS for p in got)
     assert {p for p, d in far.items() if d <= lines.SURE} <= set(got)
+
+
+def test_short_lines_by_equality(spark):
+    chinese = "这是一行没有标点的很长的中文文本它在语料库中重复出现了很多次"
+    rows = [(1, f"Read more\n{chinese}\n---"), (2, f"read more!\nother\n{chinese}\n---"), (3, "Read some")]
+    kept = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))[0]
+    got = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == [(1, f"Read more\n{chinese}\n---"), (2, "other\n---"), (3, "Read some")]
