@@ -6,7 +6,8 @@ a rolling hash to the exact word sequences and their items; a document's windows
 word for word. The dictionary is broadcast in parts of bounded size: a larger benchmark takes more passes over
 documents, in one job and without a shuffle, and no part grows with the corpus.
 
-Null or word-less texts have no windows. Items without id or words are never found. Rows are independent of one
+Null or word-less texts have no windows. Items without words are never found; the hits of an item without id count as
+words, only the item is left out of the items. Rows are independent of one
 another, so repeated rows and ids give repeated results; other columns pass through.
 """
 
@@ -35,7 +36,7 @@ def _window_table(items: list[tuple[int, list[bytes]]], n: int) -> dict[int, dic
         at = out.setdefault(size, {})
         for i, h in enumerate(rolling(seen.of(words), size).tolist()):
             ids = at.setdefault(h, {}).setdefault(b" ".join(words[i : i + size]), [])
-            if not ids or ids[-1] != item:
+            if item is not None and (not ids or ids[-1] != item):
                 ids.append(item)
     return {k: {"hashes": np.array(sorted(v), np.uint64), "exact": v} for k, v in out.items()}
 
@@ -43,7 +44,7 @@ def _window_table(items: list[tuple[int, list[bytes]]], n: int) -> dict[int, dic
 def benchmark_parts(bench: DataFrame, n: int, id_col: str, text_col: str, part_words: int) -> Iterator[dict[int, dict]]:
     """Window tables of bounded size, fetched one partition at a time."""
     part, held = [], 0
-    rows = bench.select(col(id_col).alias("i"), col(text_col).alias("t")).dropna()
+    rows = bench.select(col(id_col).alias("i"), col(text_col).alias("t")).dropna(subset=["t"])
     for row in rows.toLocalIterator():
         if words := letter_words(row["t"]):
             if part and held + len(words) > part_words:
@@ -66,7 +67,7 @@ def find_hits(words: list[bytes], hashes: np.ndarray, table: dict[int, dict]) ->
         place = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
         for i in np.flatnonzero(known[place] == rolled).tolist():
             ids = at["exact"][int(rolled[i])].get(b" ".join(words[i : i + size]))
-            if ids:
+            if ids is not None:
                 spans.append((i, i + size))
                 items.update(ids)
     return spans, items

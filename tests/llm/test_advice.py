@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import lines
+from matchloom.llm import decontam, lines
 
 
 def test_recall_of_near_lines(spark):
@@ -48,3 +48,12 @@ def test_short_lines_by_equality(spark):
     kept = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))[0]
     got = sorted((r["doc_id"], r["text"]) for r in kept.collect())
     assert got == [(1, f"Read more\n{chinese}\n---"), (2, "other\n---"), (3, "Read some")]
+
+
+def test_items_without_id_are_hits(spark):
+    passage = " ".join(f"word{chr(97 + i)}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "quite other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, passage)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.report(docs, bench).collect()}
+    assert got == {1: (12, 0, True), 2: (0, 0, False)}
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
