@@ -1,13 +1,18 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Two bigram models share one vocabulary of hashed words: ``2**18`` places for words, ``2**21`` for word pairs, counted
-over all documents. Counts of the background are scaled to the target's number of words, so both are smoothed alike:
-a pair's probability is interpolated with the word's, and the word's with the uniform one. A token's loss is its
-negative log probability; a document's score is the mean over its tokens of target loss minus background loss, so
-that lower means closer to the target.
-
-Tasks count into arrays of fixed size and send them packed in blocks; Spark sums block by block. The model is 38 MB of
-counts at any corpus size, scoring is one pass without a shuffle. Null and empty texts have no tokens and score 0.
+Two bigram models share one vocabulary of words, known by their 64-bit hashes; words and pairs are counted exactly over
+all documents. Counts of the background are scaled to the target's number of words, so both are smoothed alike: a
+pair's probability is interpolated with the word's, and the word's with the uniform one over the vocabulary. A token's
+loss is its negative log probability; a document's score is the mean over its tokens of target loss minus background
+loss, so that lower means closer to the target.
+
+Tasks count the pairs of some hundred thousand words at a time, target and background in two columns, and Spark sums
+them by pair; a word's count and its count as a history are sums over its pairs. Each pair has one loss in each model:
+documents send each distinct pair once, meet the losses by pair and sum by document. Counts grow with the corpus and
+are never whole in one place; only two totals and the size of the vocabulary pass the driver. Hot pairs and words are
+split by the session's skew joins, as both sides of those joins are stored.
+
+Null and empty texts have no tokens and score 0. Pairs that were not counted have the loss of a new pair of their words.
 Without target documents all losses are those of the uniform distribution. Repeated rows count as often as they occur.
 """
 
@@ -20,119 +25,132 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from matchloom.llm.tables import col, fresh, small
-from matchloom.llm.words import WordHashes, blank_words_lower, mix
+from matchloom.llm.words import WordHashes, blank_words_lower
+from matchloom.plans.scratch import materialise, materialise_counted
 
-WORD_BITS, PAIR_BITS = 18, 21
-_BLOCK = 1 << 13
 _FLUSH_WORDS = 400_000
 #: Weight of the word model against a pair's history, and of the uniform model against the word model.
 PAIR_WEIGHT, WORD_WEIGHT = 4.0, 0.5
-_B = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = np.dtype([("before", np.uint64), ("word", np.uint64)])
 
 
-def bins(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of each token, of the token before it (place 0 of an own table slot at the start) and of the pair."""
-    before = np.concatenate((np.zeros(1, np.uint64), hashes[:-1]))
-    word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    history = (before >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pair = (mix(before * _B + hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return word, history, pair
+def pairs_of(hashes: np.ndarray) -> np.ndarray:
+    """Each token with the token before it, 0 at the start."""
+    out = np.empty(len(hashes), _PAIR)
+    out["word"] = hashes
+    out["before"][:1] = 0
+    out["before"][1:] = hashes[:-1]
+    return out
+
+
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, the place of each given pair among them, and where the sorted order begins anew."""
+    order = np.lexsort((pairs["word"], pairs["before"]))
+    some = pairs[order]
+    new = np.ones(len(some), bool)
+    new[1:] = some[1:] != some[:-1]
+    return some[new], order, np.flatnonzero(new)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = (1 << WORD_BITS) * 2 + (1 << PAIR_BITS)
-    totals, seen = np.zeros((2, size), np.int64), WordHashes()
-    waiting: list[list[np.ndarray]] = [[], []]
+    seen = WordHashes()
+    waiting: list[np.ndarray] = []
+    sides: list[np.ndarray] = []
     held = 0
 
-    def add() -> None:
-        for side, hashes in enumerate(waiting):
-            if hashes:
-                found = [bins(h) for h in hashes]
-                for offset, part in ((0, 0), (1 << WORD_BITS, 1), (2 << WORD_BITS, 2)):
-                    places = np.concatenate([f[part] for f in found])
-                    width = 1 << (PAIR_BITS if part == 2 else WORD_BITS)
-                    totals[side, offset : offset + width] += np.bincount(places, minlength=width)
-                hashes.clear()
+    def counted() -> pa.RecordBatch:
+        keys, order, starts = _distinct(np.concatenate(waiting))
+        side = np.concatenate(sides)[order]
+        n = [np.add.reduceat(x.astype(np.int64), starts) for x in (side, np.ones(len(side)))]
+        waiting.clear()
+        sides.clear()
+        columns = [np.ascontiguousarray(keys[c]).view(np.int64) for c in ("before", "word")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *n)], names=["before", "word", "t", "b"])
 
     for batch in batches:
         for target, text in zip(*(c.to_pylist() for c in batch.columns)):
             hashes = seen.of(blank_words_lower(text))
             if len(hashes):
-                waiting[0 if target else 1].append(hashes)
+                waiting.append(pairs_of(hashes))
+                sides.append(np.full(len(hashes), bool(target)))
                 held += len(hashes)
             if held >= _FLUSH_WORDS:
-                add()
+                yield counted()
                 held = 0
-    add()
-    for at in range(0, size, _BLOCK):
-        some = totals[:, at : at + _BLOCK]
-        if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int64()), pa.array([some.tobytes()])], names=["block", "n"])
+    if waiting:
+        yield counted()
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(n, np.int64) for n in table["n"].to_pylist())
-    return pa.table({"block": table["block"][:1], "n": [total.tobytes()]})
+def _pairs_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct pairs and their counts; ``rows`` is 1 on its first pair."""
+    seen = WordHashes()
+    for batch in batches:
+        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            hashes = seen.of(blank_words_lower(text))
+            if not len(hashes):
+                continue
+            pairs, _, starts = _distinct(pairs_of(hashes))
+            n = np.diff(np.append(starts, len(hashes)))
+            rows = np.zeros(len(n), np.int64)
+            rows[0] = 1
+            columns = [np.ascontiguousarray(pairs[c]).view(np.int64) for c in ("before", "word")]
+            names = ["key", "before", "word", "n", "rows"]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(n), pa.binary()), *(pa.array(c) for c in (*columns, n, rows))], names=names)
 
 
 @dataclass(frozen=True)
 class Models:
-    counts: np.ndarray  # (target, background) x (words, histories, pairs)
+    pairs: DataFrame  # before, word, t, b: counts of the target and of the background
+    words: DataFrame  # word, t, b
+    histories: DataFrame  # before, t, b
     totals: tuple[float, float]
-    scale: float  # of background counts
-
-    def losses(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each token under the target and under the background model."""
-        word, history, pair = bins(hashes)
+    vocabulary: int
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """The distinct ``before, word`` of a table with ``target_loss`` and ``background_loss``."""
+        counts = lambda df, p: df.withColumnsRenamed({"t": f"{p}t", "b": f"{p}b"})
+        met = pairs.join(counts(self.pairs, "p"), ["before", "word"], "left")
+        met = met.join(small(counts(self.words, "w")), "word", "left").join(small(counts(self.histories, "h")), "before", "left")
+        zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        scale = self.totals[0] / self.totals[1] if self.totals[1] and self.totals[0] else 1.0
         out = []
-        for side, scale in ((0, 1.0), (1, self.scale)):
-            n, total = self.counts[side], self.totals[side] * scale
-            uniform = 1.0 / (1 << WORD_BITS)
-            mass = WORD_WEIGHT * (1 << WORD_BITS)
-            p_word = (n[word] * scale + mass * uniform) / (total + mass)
-            h = n[(1 << WORD_BITS) + history] * scale
-            p = (n[(2 << WORD_BITS) + pair] * scale + PAIR_WEIGHT * p_word) / (h + PAIR_WEIGHT)
-            out.append(-np.log(np.minimum(p, 1.0)))
-        return out[0], out[1]
+        for side, s, total in (("t", 1.0, self.totals[0]), ("b", scale, self.totals[1] * scale)):
+            p_word = (zero(f"w{side}") * s + WORD_WEIGHT) / (total + WORD_WEIGHT * self.vocabulary)
+            p = (zero(f"p{side}") * s + PAIR_WEIGHT * p_word) / (zero(f"h{side}") * s + PAIR_WEIGHT)
+            out.append(-F.log(p))
+        return met.select("before", "word", out[0].alias("target_loss"), out[1].alias("background_loss"))
 
 
 def fit(docs: DataFrame, target: Column, text_col: str = "text") -> Models:
-    """Count all documents, those where ``target`` is true and the others apart; the background is both together."""
+    """Count all documents, those where ``target`` is true by themselves; the background is all of them."""
     rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), col(text_col).alias("text")).filter("text is not null")
-    counted = rows.mapInArrow(_count, "block long, n binary").groupBy("block").applyInArrow(_sum, "block long, n binary")
-    size = (1 << WORD_BITS) * 2 + (1 << PAIR_BITS)
-    n = np.zeros((2, size), np.float32)
-    for row in counted.toLocalIterator():
-        at = row["block"] * _BLOCK
-        n[:, at : at + _BLOCK] = np.frombuffer(row["n"], np.int64).reshape(2, -1)
-    n[1] += n[0]
-    totals = tuple(float(n[side, : 1 << WORD_BITS].sum(dtype=np.float64)) for side in (0, 1))
-    return Models(n, totals, totals[0] / totals[1] if totals[1] and totals[0] else 1.0)
+    counted = rows.mapInArrow(_count, "before long, word long, t long, b long")
+    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
+    pairs = materialise(counted.groupBy("before", "word").agg(*sums), "pair-counts")
+    words, seen = materialise_counted(pairs.groupBy("word").agg(*sums), "word-counts", n=F.count(F.lit(1)), t=F.sum("t"), b=F.sum("b"))
+    histories = materialise(pairs.groupBy("before").agg(*sums), "history-counts")
+    # one place more for words that were not counted
+    return Models(pairs, words, histories, (float(seen["t"] or 0), float(seen["b"] or 0)), seen["n"] + 1)
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> tuple[DataFrame, str]:
     """All columns of ``docs`` plus one struct ``n_tokens, target_loss, background_loss, score``; and its name."""
-    (out,) = fresh(docs.columns, "xent")
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = ("target_loss", "background_loss", "score")
-    kind = pa.struct([("n_tokens", pa.int64()), *((n, pa.float64()) for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, m = WordHashes(), shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(text_col).to_pylist():
-                hashes = seen.of(blank_words_lower(text))
-                a, b = (float(x.mean()) for x in m.losses(hashes)) if len(hashes) else (0.0, 0.0)
-                rows.append({"n_tokens": len(hashes), "target_loss": a, "background_loss": b, "score": a - b})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, out])
-
-    field = T.StructType([T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, field)])), out
+    out, key, found = fresh(docs.columns, "xent", "text_key", "found")
+    digest = F.unhex(F.md5(col(text_col).cast("binary")))
+    texts = docs.select(digest.alias("key"), col(text_col).alias("text")).filter("text is not null")
+    asked = materialise(texts.mapInArrow(_pairs_by_text, "key binary, before long, word long, n long, rows long"), "text-pairs")
+    losses = materialise(models.losses(asked.select("before", "word").distinct()), "pair-losses")
+    n = F.sum("n")
+    # repeated texts meet under one key: means stay, tokens are divided by the repeats
+    means = [(F.sum(F.col(c) * F.col("n")) / n).alias(c) for c in ("target_loss", "background_loss")]
+    done = asked.join(losses, ["before", "word"]).groupBy("key").agg((n / F.sum("rows")).cast("long").alias("n_tokens"), *means)
+    fields = F.struct("n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    done = materialise(done.select(F.col("key").alias(key), fields.alias(found)), "text-losses")
+    none = F.struct(F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")])
+    joined = docs.join(small(done), digest == F.col(key), "left")
+    return joined.select(*[col(c) for c in docs.columns], F.coalesce(F.col(found), none).alias(out)), out
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

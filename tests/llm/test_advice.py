@@ -1,13 +1,15 @@
 """Whole results where an operator once did less."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, lines
+from matchloom.llm import decontam, lines, xent
 
 
 def test_recall_of_near_lines(spark):
@@ -57,3 +59,28 @@ def test_items_without_id_are_hits(spark):
     got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.report(docs, bench).collect()}
     assert got == {1: (12, 0, True), 2: (0, 0, False)}
     assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_losses_of_exact_counts(spark):
+    """More words than the 2**18 places that once held all counts."""
+    random.seed(13)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(7000)) + " the end the end") for i in range(40)] + [(40, "the end"), (40, "the end"), (41, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    words, pairs, before = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
+    for i, text in rows:
+        w = (text or "").split()
+        for side in [1] + [0] * (i < 10):
+            words[side].update(w)
+            pairs[side].update(zip([None, *w], w))
+            before[side].update([None, *w][: len(w)])
+    size, totals = len(words[1]) + 1, [words[side].total() for side in (0, 1)]
+    assert size > 1 << 18
+    got = [r for r in xent.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels).collect()]
+    assert len(got) == len(rows)
+    for r in got:
+        w, want = (dict(rows)[r["doc_id"]] or "").split(), []
+        for side, scale in ((0, 1.0), (1, totals[0] / totals[1])):
+            p_word = {x: (words[side][x] * scale + 0.5) / (totals[side] * scale + 0.5 * size) for x in w}
+            p = [(pairs[side][a, x] * scale + 4 * p_word[x]) / (before[side][a] * scale + 4) for a, x in zip([None, *w], w)]
+            want.append(-sum(map(math.log, p)) / max(1, len(w)))
+        assert r["n_tokens"] == len(w) and math.isclose(r["target_loss"], want[0], abs_tol=1e-9) and math.isclose(r["background_loss"], want[1], abs_tol=1e-9)
