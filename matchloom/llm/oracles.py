@@ -100,9 +100,16 @@ SELECT k.conv_id, CAST(k.n_common AS BIGINT) AS n_common,
 FROM k JOIN p USING (conv_id) GROUP BY k.conv_id, k.n_common
 """
 
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
 ORACLES = {
     "op2_substring_dedup": SUBSTRINGS,
     "op5_minhash_near_dedup": NEAR_DUPLICATES,
     "op6_decontamination": DECONTAMINATION,
     "op9_chat_formatting": PREFERENCES,
+    "op13_exact_dedup": EXACT,
 }
