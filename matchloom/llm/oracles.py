@@ -100,6 +100,84 @@ SELECT k.conv_id, CAST(k.n_common AS BIGINT) AS n_common,
 FROM k JOIN p USING (conv_id) GROUP BY k.conv_id, k.n_common
 """
 
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+    regexp_extract_all({_low("coalesce(text, '')")}, '{_TERMS}') AS w
+  FROM documents
+),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+l AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) GROUP BY lang, term
+),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+_RUNS = r"[A-Za-z\x{00C0}-\x{00FF}]+"
+
+VARIANTS = f"""
+WITH RECURSIVE z AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+),
+r AS (
+  SELECT i, k, run, count(*) AS n
+  FROM (SELECT row_number() OVER () AS i, coalesce(CAST(doc_id AS VARCHAR), '') AS k, unnest(regexp_extract_all({_low('text')}, '{_RUNS}')) AS run FROM documents)
+  GROUP BY i, k, run
+),
+b AS (SELECT k, run, hex(encode(k || ':' || run)) AS x FROM (SELECT DISTINCT k, run FROM r)),
+h AS (
+  SELECT k, run, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda p: CAST('0x' || x[p:p+1] AS BIGINT))),
+    lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) AS h
+  FROM b, z
+),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM r JOIN h USING (k, run))
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+p AS (SELECT word, left(word, i) || '*' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+e AS (
+  SELECT a.word AS a, b.word AS b FROM p a JOIN p b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT p.word, w.word FROM p JOIN w ON w.word = p.less
+  UNION SELECT w.word, p.word FROM p JOIN w ON w.word = p.less
+),
+m AS (
+  SELECT e.a AS word, count(*) AS n_near, max(y.n) AS most FROM e JOIN w y ON y.word = e.b GROUP BY e.a
+),
+f AS (
+  SELECT m.word, min(e.b) AS form, any_value(m.most) AS form_n
+  FROM m JOIN w x ON x.word = m.word JOIN e ON e.a = m.word JOIN w y ON y.word = e.b AND y.n = m.most
+  WHERE m.most >= 2 * x.n GROUP BY m.word
+),
+c AS (SELECT word, form AS root, 1 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root),
+g AS (SELECT word, max_by(root, depth) AS root FROM c GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n
+FROM w LEFT JOIN m USING (word) LEFT JOIN f USING (word) LEFT JOIN g USING (word)
+"""
+
 EXACT = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -111,5 +189,7 @@ ORACLES = {
     "op5_minhash_near_dedup": NEAR_DUPLICATES,
     "op6_decontamination": DECONTAMINATION,
     "op9_chat_formatting": PREFERENCES,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_spelling_variants": VARIANTS,
     "op13_exact_dedup": EXACT,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import chat, decontam, langid, lines, minhash, perfect, permutation, pieces, toxicity, windows, xent
+from matchloom.llm import chat, decontam, divergence, langid, lines, minhash, perfect, permutation, pieces, spelling, toxicity, windows, xent
 from matchloom.llm.tables import load
 from matchloom.plans.ship import ship
 
@@ -59,6 +59,16 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xent.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return divergence.report(load(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.report(load(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return perfect.report(load(spark, sf_dir, "documents"))
@@ -75,5 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_cross_entropy": op10_cross_entropy,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_dedup": op13_exact_dedup,
 }
