@@ -6,6 +6,8 @@ through the matches in order, so a decision needs no match id: its place follows
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from matchloom.functions.text import strip_text
 from matchloom.operators.matches import project_ids
 from matchloom.plans.scratch import materialise
 
-# seq numbers never repeat in a session, so a block of this many numbers holds at most as many events
-SEQ_BLOCK = 65536
+# events of one part of the log, about: parts are cut by the number of events, not by their numbers
+PART_EVENTS = 65536
 
 
 def trim_note(note: Column) -> Column:
@@ -33,29 +35,47 @@ def one_session(events: DataFrame, session: str | None = None) -> DataFrame:
     return events
 
 
+def _carried(ends: DataFrame, parts: int) -> DataFrame:
+    """Add to ``session, __part, t, low`` (sum and lowest running sum) what comes before: ``__before`` and ``__floor``.
+
+    In two levels: within runs of some sqrt(parts) parts, then over the runs, so that no window holds all parts.
+    """
+    run_of = F.expr(f"__part div {max(1, math.isqrt(parts))}")
+    ends = ends.withColumn("__run", run_of)
+    inside = Window.partitionBy("session", "__run").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("b", F.coalesce(F.sum("t").over(inside), F.lit(0)))
+    ends = ends.withColumn("f", F.min(F.col("b") + F.col("low")).over(inside))
+    runs = ends.groupBy("session", "__run").agg(F.sum("t").alias("t"), F.min(F.col("b") + F.col("low")).alias("low"))
+    over = Window.partitionBy("session").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("rb", F.coalesce(F.sum("t").over(over), F.lit(0)))
+    runs = runs.withColumn("rf", F.min(F.col("rb") + F.col("low")).over(over))
+    both = ends.join(runs.select("session", "__run", "rb", "rf"), ["session", "__run"])
+    # least() passes over NULL: the first run and the first part have nothing before them
+    return both.select(
+        "session", "__part", (F.col("rb") + F.col("b")).alias("__before"), F.least("rf", F.col("rb") + F.col("f")).alias("__floor")
+    )
+
+
 def replay_index(events: DataFrame) -> DataFrame:
     """Add ``idx``, the position after each event, and ``touched``, the 0-based match it concerns.
 
     +1 per decision, -1 per undo, never below 0: idx = S - min(0, lowest S so far), S the running sum.
-    The running values are taken inside blocks of seq numbers and carried over between blocks, so one
-    long session is spread over many tasks.
+    The log is cut into parts of about as many events, whatever their numbers. Running values are taken inside the
+    parts and carried over between them, so one long session is spread over many tasks.
     """
     step = F.when(F.col("choice") == "U", -1).otherwise(1)
-    blocked = events.withColumn("__step", step).withColumn("__block", F.expr(f"seq div {SEQ_BLOCK}"))
-    inside = Window.partitionBy("session", "__block").orderBy("seq")
-    run = blocked.withColumn("__sum", F.sum("__step").over(inside))
-    # lowest running sum before each event, within its block
+    parts = max(1, math.ceil(events.count() / PART_EVENTS))
+    spread = events.withColumn("__step", step).repartitionByRange(parts, "session", "seq").withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("session", "__part").orderBy("seq")
+    run = spread.withColumn("__sum", F.sum("__step").over(inside))
+    # lowest running sum before each event, within its part
     run = run.withColumn("__low", F.min("__sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     # read twice below, and the result usually more often
     run = materialise(run, "replay")
-    ends = run.groupBy("session", "__block").agg(F.sum("__step").alias("t"), F.min("__sum").alias("low"))
-    carried = Window.partitionBy("session").orderBy("__block")
-    earlier = carried.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__before", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
-    ends = ends.withColumn("__floor", F.min(F.col("__before") + F.col("low")).over(earlier))
-    run = run.join(ends.select("session", "__block", "__before", "__floor"), ["session", "__block"])
+    ends = run.groupBy("session", "__part").agg(F.sum("__step").alias("t"), F.min("__sum").alias("low"))
+    run = run.join(_carried(ends, parts), ["session", "__part"])
     total = F.col("__before") + F.col("__sum")
-    # least() passes over NULL: the first event of a block or session has nothing before it
+    # least() passes over NULL: the first event of a part or session has nothing before it
     before = F.least(F.lit(0), F.col("__before") + F.col("__low"), F.col("__floor"))
     undo = F.col("choice") == "U"
     out = run.withColumn("idx", total - F.least(before, total)).withColumn("noop", undo & (total < before))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.operators import report, review
 
@@ -59,9 +60,9 @@ def test_replay_cases(spark, choices, n, expected):
     assert got.get("s", []) == [(i + 1, c) for i, c in enumerate(expected)]
 
 
-@pytest.mark.parametrize("block", [1, 7, 65536])
+@pytest.mark.parametrize("block", [100, 700, 65536])
 def test_replay_against_a_stack(spark, monkeypatch, block):
-    monkeypatch.setattr(review, "SEQ_BLOCK", block)
+    monkeypatch.setattr(review, "PART_EVENTS", block)
     rng = random.Random(block)
     sessions = {f"s{i}": "".join(rng.choices("ABFSUUU", k=rng.randint(1, 40))) for i in range(150)}
     events = review.in_range(review.replay_index(log(spark, sessions)), 6)
@@ -70,6 +71,22 @@ def test_replay_against_a_stack(spark, monkeypatch, block):
         assert got.get(name, []) == [(i + 1, c) for i, c in enumerate(stack(choices, 6))], choices
 
 
+def test_replay_of_one_long_sparse_session(spark, monkeypatch):
+    """Parts hold about as many events however far apart their numbers are, and carries go over runs of parts."""
+    monkeypatch.setattr(review, "PART_EVENTS", 60)
+    rng = random.Random(1)
+    choices = "".join(rng.choices("ABFSUU", k=1500))
+    events = log(spark, {"s": choices}).withColumn("seq", F.col("seq") * F.col("seq") * 10**9)
+    replayed = review.replay_index(events)
+    got = {r["seq"]: r["idx"] for r in replayed.select("seq", "idx").collect()}
+    depth, want = 0, []
+    for c in choices:
+        depth = max(depth - 1, 0) if c == "U" else depth + 1
+        want.append(depth)
+    assert [got[seq] for seq in sorted(got)] == want
+    assert decided(review.effective_decisions(review.in_range(replayed, 10**6)))["s"] == [(i + 1, c) for i, c in enumerate(stack(choices, 10**6))]
+
+
 @pytest.fixture
 def matches(spark):
     rows = [
