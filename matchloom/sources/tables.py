@@ -13,6 +13,8 @@ from matchloom.config import ScanConfig, scan_prefix
 from matchloom.functions.text import ref
 from matchloom.operators.matches import match_export
 from matchloom.operators.review import approved, flagged
+from matchloom.plans.scratch import materialise
+from matchloom.sources.records import read_records, spanning_states
 
 # Cell texts that read as missing in a delimited file.
 MISSING_TOKENS = (
@@ -70,24 +72,22 @@ def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     return reader.csv(path)
 
 
-def has_split_records(spark: SparkSession, path: str) -> bool:
-    """Does a record span lines? Only then some line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-
-
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool | None = None) -> DataFrame:
     """A delimited file with a header, types inferred, or a Parquet table.
 
-    Large files are split unless a cell holds a line break; one splittable pass finds out. ``multiline`` skips it.
+    Large files are split, also where a cell holds a line break: one splittable pass finds out whether any does, and
+    then records are put together range by range. ``multiline`` skips that pass: False takes every line as a record,
+    True reads each file in one task.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError("fmt must be csv or parquet")
-    if multiline is None:
-        multiline = has_split_records(spark, path)
-    return infer_types(normalise_missing(_csv(spark, path, multiline)))
+    if multiline is None and (states := spanning_states(spark, path)) is not None:
+        cells = read_records(spark, path, _csv(spark, path, True).columns, states)
+        # types are inferred and cells read from the same assembled records
+        return infer_types(normalise_missing(materialise(cells, "records")))
+    return infer_types(normalise_missing(_csv(spark, path, bool(multiline))))
 
 
 def read_columns(spark: SparkSession, path: str, fmt: str = "csv") -> list[str]:
