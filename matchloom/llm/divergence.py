@@ -22,7 +22,7 @@ they occur; ties go to the smaller item in UTF-8; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.tables import col
-from matchloom.plans.scratch import materialise, materialise_counted
+from matchloom.plans.scratch import materialise
 
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-#: Entries that a task holds before it sends a slice.
-_HELD = 400_000
+#: Terms in a row that a task holds before it sends a slice, and rows that it sends at once.
+_HELD, _ROWS_SENT = 4_000_000, 50_000
 _BLOCK = 1024
 _GROUPS = 64
 #: Terms of one matrix: few, so that few count levels occur.
@@ -53,32 +53,69 @@ _TILES = "lang string, one string, other string, value long, terms long"
 # --- counting ---------------------------------------------------------------------------------------
 
 
-def _slice(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-    """Rows of one slice, by language and term; without a source, ``n`` counts documents."""
-    rows = [(t, lang, source, n) for (lang, source), terms in counts.items() for t, n in terms.items()]
-    rows += [(t, lang, None, n) for lang, terms in docs.items() for t, n in terms.items()]
-    rows.sort(key=lambda r: r[:2])
-    for at in range(0, len(rows), 50_000):
-        term, lang, source, n = zip(*rows[at : at + 50_000])
-        text = pa.array(term, pa.binary()).cast(pa.string())
-        arrays = [pa.array(lang, pa.string()), pa.array(source, pa.string()), text, pa.array(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n"])
+class _Numbers(dict):
+    """Terms numbered as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        value = self[term] = len(self)
+        return value
+
+
+class _Language:
+    """The terms of one language's documents in a slice, as numbers, document by document."""
+
+    def __init__(self) -> None:
+        self.numbers, self.sources = _Numbers(), {}
+        self.tokens: list[np.ndarray] = []
+        self.groups: list[int] = []
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        self.tokens.append(np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms)))
+        self.groups.append(self.sources.setdefault(source, len(self.sources)))
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """Counts by term and source; then, without a source, the number of documents by term."""
+        groups = np.array(self.groups)
+        order = np.argsort(groups, kind="stable")
+        rank = np.empty(len(groups), np.int64)
+        rank[order] = np.arange(len(groups))
+        sizes = [len(t) for t in self.tokens]
+        # sorted by term, source and document
+        keys = np.concatenate(self.tokens) << 32 | np.repeat(rank, sizes)
+        if not len(keys):
+            return
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        term, group = keys[first] >> 32, groups[order][keys[first] & 0xFFFFFFFF]
+        fresh = np.diff(term, prepend=-1) != 0
+        run = np.flatnonzero(fresh | (np.diff(group, prepend=-1) != 0))
+        times = np.diff(np.append(first[run], len(keys)))
+        start = np.flatnonzero(fresh)
+        names = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
+        sources = pa.array([*self.sources, None], pa.string())
+        docs = np.diff(np.append(start, len(first)))
+        none = np.full(len(start), len(self.sources))
+        for terms, owners, n in ((term[run], group[run], times), (term[start], none, docs)):
+            for at in range(0, len(n), _ROWS_SENT):
+                part = slice(at, at + _ROWS_SENT)
+                same = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n[part]), np.int64)))
+                arrays = [same, sources.take(pa.array(owners[part])), names.take(pa.array(terms[part])), pa.array(n[part])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n"])
 
 
 def count_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+    langs, held = defaultdict(_Language), 0
     for batch in batches:
         for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
             terms = text.encode("utf-8", "surrogatepass").translate(_TERMS).split()
-            here, all_docs = counts[lang, source], docs[lang]
-            held -= len(here) + len(all_docs)
-            here.update(terms)
-            all_docs.update(set(terms))
-            held += len(here) + len(all_docs)
+            langs[lang].add(source, terms)
+            held += len(terms)
             if held >= _HELD:
-                yield from _slice(counts, docs)
-                counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
-    yield from _slice(counts, docs)
+                for name, one in langs.items():
+                    yield from one.rows(name)
+                langs, held = defaultdict(_Language), 0
+    for name, one in langs.items():
+        yield from one.rows(name)
 
 
 def kept_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
