@@ -5,12 +5,13 @@ item is sent to the blocks in which it may meet a partner, a block holds a bound
 a NumPy scorer inside the block returns only pairs above the cutoff, at most k per item. Pairs are
 never rows of a shuffle before they are scored.
 
-Two routes choose the blocks, and both lose nothing (``score_pairs`` picks, or combines them under skew):
+Several routes choose the blocks, and none loses a pair (``score_pairs`` picks by expected cost):
 
 * ``bands``: items ordered by a band (text length) and cut into chunks; chunk pairs whose bands can
   reach the cutoff form a block. A band with too many items is split by a hash.
 * ``signatures``: items that share a signature meet. A signature with too many items is split into
   chunks by a hash and all its chunk pairs become blocks of their own; rare signatures share blocks.
+* ``metric``: items visit the boxes of points that they may reach, see ``metric``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from matchloom.plans.scratch import materialise
 
 CHUNK_ROWS_MIN, CHUNK_ROWS_MAX = 256, 16384
 CHUNK_BYTES = 32 << 20
+# core seconds below which no other plan than bands is looked at: its own passes would cost as much
+DIRECT_SECONDS = 120.0
 # a signature route costs a shuffle of every item's signatures; below this many pairs it never pays
 DIRECT_PAIRS = 500_000_000
 BROADCAST_BYTES = 8 << 20
@@ -50,9 +53,44 @@ class Shape:
 Scorer = Callable[[pa.Table, "Groups", "Best"], None]
 
 
+@dataclass(frozen=True)
+class Cost:
+    """What a plan is expected to take: simple operations, and bytes that move between tasks."""
+
+    operations: float
+    moved: float
+
+    def seconds(self) -> float:
+        """On one core: a billion operations, or 50 MB through a shuffle and into a worker."""
+        return self.operations / 1e9 + self.moved / 5e7
+
+
+@dataclass(frozen=True)
+class MetricPlan:
+    """A join by pivots, laid out but not run: see ``metric.plan``. ``near_pairs``: pairs that its points leave open."""
+
+    cost: Cost
+    near_pairs: float
+    run: Callable[[], DataFrame]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Operations for a pair in the first look, for a pair that is scored in full, and bytes of an item."""
+
+    look: float
+    score: float
+    item_bytes: float
+
+
 class Groups:
     """The left and right rows of every meeting inside one block table."""
 
+    #: Which pairs of the present meeting are worth a look; None: all.
+    ok: np.ndarray | None = None
+    #: Pairs whose score was worked out, for those who want to know.
+    scored = 0
+
     def __init__(self, table: pa.Table, shape: Shape):
         self.pos = table["pos"].to_numpy()
         self.left = table["is_left"].to_numpy(zero_copy_only=False)
@@ -120,6 +158,8 @@ class Best:
         self.items = np.unique(items)
         self.slot = np.minimum(np.searchsorted(self.items, self.pos), max(len(self.items) - 1, 0))
         self.floor = np.full(len(self.items), -np.inf)
+        # the partner at the floor: among equal scores the order of positions decides
+        self.worst = np.full(len(self.items), 0 if shape.high_b else np.iinfo(np.int64).max)
         self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         self.waiting: list[tuple] = []
         self.size = 0
@@ -140,6 +180,8 @@ class Best:
         self.kept, self.waiting, self.size = (a, b, raw), [], 0
         last = rank == self.shape.k - 1
         slots = np.searchsorted(self.items, a[last])
+        sound = raw[last] >= self.floor[slots]
+        self.worst[slots[sound]] = b[last][sound]
         self.floor[slots] = np.maximum(self.floor[slots], raw[last])
 
     def pair_floor(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -149,6 +191,17 @@ class Best:
             return np.broadcast_to(mine, np.broadcast_shapes(i.shape, j.shape))
         return np.where(self.pos[i] < self.pos[j], mine, self.floor[self.slot[j]])
 
+    def able(self, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Pairs that a bound of their score still lets in: above the floor, or at it with a better position."""
+        floor = self.pair_floor(i, j)
+        a, b = self.pos[i], self.pos[j]
+        slot = self.slot[i]
+        if not self.shape.two_sided:
+            slot = np.where(a < b, slot, self.slot[j])
+            b = np.maximum(a, b)
+        better = b >= self.worst[slot] if self.shape.high_b else b <= self.worst[slot]
+        return (bound > floor + 1e-6) | ((bound >= floor - 1e-6) & better)
+
     def raise_floors(self, rows: np.ndarray, cols: np.ndarray, lower: np.ndarray, once: np.ndarray | None) -> None:
         """Lower bounds of all scores of a rectangle already tell what k partners reach."""
 
@@ -244,6 +297,14 @@ def band_cost(counts: Iterable[tuple[int, int, int]], reach: Callable[[int, int]
     return total
 
 
+def band_moves(counts: Iterable[tuple[int, int]], reach: Callable[[int, int], tuple[int, int]], limit: int) -> float:
+    """Rows that the bands send: each item once for each chunk that it may meet."""
+    counts = list(counts)
+    spans, _ = band_plan(counts, reach, limit)
+    copies = {band: high - low + 1 for band, _, _, low, high in spans}
+    return float(sum(n * copies[band] for band, n in counts))
+
+
 def _partition_count(df: DataFrame, blocks: int) -> int:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -380,32 +441,51 @@ def score_pairs(
     limit: int,
     mirrored: bool,
     route: str,
+    weights: Weights,
+    metric: Callable[[], MetricPlan],
 ) -> DataFrame:
-    """Score all pairs that can reach the cutoff, by the route that scores the fewest.
+    """Score all pairs that can reach the cutoff, by the plan that is expected to cost least.
 
-    ``items`` carry pos, is_left, is_right, band and the payload. Beside the two plain routes there is a
-    third, ``split``, for skew: items that share any hot signature meet once by bands, not once per hot
-    signature, and only the other signatures are used as such.
+    ``items`` carry pos, is_left, is_right, band and the payload. Beside bands, signatures and the metric plan there
+    is ``split``, for skew: items that share any hot signature meet once by bands, not once per hot signature, and
+    only the other signatures are used as such.
     """
 
     def bands(some: DataFrame, n: list[tuple[int, int, int]]) -> DataFrame:
         return by_bands(some, [(band, rows) for band, rows, _ in n], reach, scorer, shape, limit)
 
     in_bands = band_cost(counts, reach, shape.two_sided)
-    if signed is None or route == "bands" or (route == "auto" and in_bands <= DIRECT_PAIRS):
+    moves = band_moves([(band, n) for band, n, _ in counts], reach, limit)
+    plain = Cost(in_bands * weights.look, moves * weights.item_bytes)
+    if route == "bands" or (route == "auto" and plain.seconds() <= DIRECT_SECONDS):
         return bands(items, counts)
+    costs: dict[str, float] = {}
+    if route in ("auto", "metric"):
+        plan = metric()
+        if route == "metric":
+            return plan.run()
+        # by bands, too, all pairs that the points leave open are scored
+        costs = {"bands": plain.seconds() + plan.near_pairs * weights.score / 1e9, "metric": plan.cost.seconds()}
+    if signed is None or (route == "auto" and in_bands <= DIRECT_PAIRS):
+        return plan.run() if costs["metric"] < costs["bands"] else bands(items, counts)
     rows_of = signed()
     stats = signature_stats(rows_of)
     cost, hot_cost, rows = signature_cost(stats, mirrored, limit)
-    costs = {"bands": in_bands, "signatures": cost}
+
+    def seconds(pairs: float) -> float:
+        return Cost(pairs * (weights.look + weights.score), rows * weights.item_bytes).seconds()
+
+    costs["signatures"] = seconds(cost)
     if route == "split" or (route == "auto" and hot_cost > 0):
         hot = _small(stats.filter(_is_hot(limit)).select("sig"))
         ids = ["pos", "is_left"] if shape.two_sided else ["pos"]
         touched = rows_of.join(hot, "sig", "left_semi").select(*ids).distinct()
         hot_items = materialise(items.join(touched, ids, "left_semi"), "hot-items")
         hot_counts = band_counts(hot_items)
-        costs["split"] = cost - hot_cost + band_cost(hot_counts, reach, shape.two_sided)
+        costs["split"] = seconds(cost - hot_cost) + band_cost(hot_counts, reach, shape.two_sided) * weights.look / 1e9
     chosen = min(costs, key=costs.get) if route == "auto" else route
+    if chosen == "metric":
+        return plan.run()
     if chosen == "bands":
         return bands(items, counts)
     if chosen == "signatures":

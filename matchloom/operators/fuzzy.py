@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.lcs import Texts, flat_ranges, indel_score, lcs_length, lcs_lengths
 from matchloom.functions.text import token_sort_form
-from matchloom.operators import blocks
-from matchloom.operators.blocks import Best, Groups, Shape
+from matchloom.operators import blocks, metric
+from matchloom.operators.blocks import Best, Groups, Shape, Weights
+from matchloom.operators.metric import Space
 from matchloom.plans.scratch import materialise
 
 _RECT_LEFT, _RECT_RIGHT = 1024, 2048
 _SMALL_MEETING = 4096
 _PAIR_BATCH = 1 << 19
-_PAIR_ROUND = 1 << 17
+_PAIR_ROUND, _PAIR_STEP = 1 << 17, 1 << 13
+#: Above this share of pairs worth a look, a rectangle goes through the matrix product as a whole.
+_DENSE = 0.1
+_COUNT_CELLS = 1 << 25
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -30,6 +38,7 @@ class _Bags:
 
     def __init__(self, texts: Texts):
         self.texts = texts
+        self.counts: np.ndarray | None = None
         owner = texts.owners()
         order = np.lexsort((texts.codes, owner))
         group = owner[order] * (texts.alphabet + 1) + texts.codes[order]
@@ -53,18 +62,32 @@ class _Bags:
         out[owner[seen], slot[element[seen]]] = 1.0
         return out
 
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Characters that single pairs share, or a bound of them if the table of counts would be too large."""
+        texts = self.texts
+        if self.counts is None and len(texts) * texts.alphabet <= _COUNT_CELLS and texts.lengths.max(initial=0) < 1 << 15:
+            at = texts.owners() * texts.alphabet + texts.codes
+            self.counts = np.bincount(at, minlength=len(texts) * texts.alphabet).astype(np.int16).reshape(len(texts), -1)
+        if self.counts is None:
+            return np.minimum(texts.lengths[i], texts.lengths[j])
+        out = np.empty(len(i), np.int64)
+        for at in range(0, len(i), _PAIR_ROUND):
+            part = slice(at, at + _PAIR_ROUND)
+            out[part] = np.minimum(self.counts[i[part]], self.counts[j[part]]).sum(axis=1)
+        return out
+
     def present(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(self.width, bool)
         out[self.elements[flat_ranges(self.texts.starts[rows], self.texts.lengths[rows])]] = True
         return out
 
 
-def fuzzy_scorer(cutoff: int):
+def fuzzy_scorer(cutoff: float):
     """Length bound, then character bound as a matrix product, then LCS on what is left."""
 
     def need(total):
         # least LCS with 200 * LCS >= cutoff * total
-        return -((-cutoff * total) // 200)
+        return np.ceil(cutoff * total / 200 - 1e-9).astype(np.int64) if cutoff % 1 else -((-int(cutoff) * total) // 200)
 
     def finish(texts: Texts, i: np.ndarray, j: np.ndarray):
         total = texts.lengths[i] + texts.lengths[j]
@@ -75,21 +98,24 @@ def fuzzy_scorer(cutoff: int):
             raw = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / total) * 100.0)
         return i, j, raw
 
-    def small(texts: Texts, best: Best, waiting: list):
+    def small(texts: Texts, best: Best, groups: Groups, waiting: list):
         if waiting:
             i, j = (np.concatenate(c) for c in zip(*waiting))
             short = np.minimum(texts.lengths[i], texts.lengths[j])
             near = short >= need(texts.lengths[i] + texts.lengths[j])
+            groups.scored += int(near.sum())
             best.add(*finish(texts, i[near], j[near]))
 
-    def large(texts: Texts, best: Best, i: np.ndarray, j: np.ndarray, overlap: np.ndarray):
-        """Most promising pairs first; what they yield rules out others before their LCS is taken."""
+    def large(texts: Texts, best: Best, groups: Groups, i: np.ndarray, j: np.ndarray, overlap: np.ndarray):
+        """Most promising pairs first, then early partners; what they yield rules out others before their LCS."""
         total = texts.lengths[i] + texts.lengths[j]
         bound = np.where(total == 0, 100.0, (1.0 - (total - 2 * overlap) / np.maximum(total, 1)) * 100.0)
-        order = np.argsort((-bound * 10).astype(np.int16), kind="stable")
+        order = np.lexsort((np.maximum(best.pos[i], best.pos[j]), (-bound * 10).astype(np.int16)))
+        step = min(_PAIR_ROUND, max(_PAIR_STEP, len(order) // 8))
         while len(order):
-            order = order[bound[order] >= best.pair_floor(i[order], j[order]) - 1e-6]
-            some, order = order[:_PAIR_ROUND], order[_PAIR_ROUND:]
+            order = order[best.able(i[order], j[order], bound[order])]
+            some, order = order[:step], order[step:]
+            groups.scored += len(some)
             best.add(*finish(texts, i[some], j[some]))
             if len(order):
                 best.compact()
@@ -99,6 +125,13 @@ def fuzzy_scorer(cutoff: int):
         bags = _Bags(texts)
         waiting, size = [], 0
         for left, right in groups:
+            if groups.ok is not None and groups.ok.mean() < _DENSE:
+                r, c = np.nonzero(groups.ok)
+                i, j = left[r], right[c]
+                overlap = bags.shared(i, j)
+                near = overlap >= need(texts.lengths[i] + texts.lengths[j])
+                large(texts, best, groups, i[near], j[near], overlap[near])
+                continue
             rank = groups.precedence(left, right, texts.lengths)
             if len(left) * len(right) <= _SMALL_MEETING:
                 i, j = np.repeat(left, len(right)), np.tile(right, len(left))
@@ -108,7 +141,7 @@ def fuzzy_scorer(cutoff: int):
                 waiting.append((i, j))
                 size += len(i)
                 if size >= _PAIR_BATCH:
-                    small(texts, best, waiting)
+                    small(texts, best, groups, waiting)
                     waiting, size = [], 0
                 continue
             used = bags.present(left) & bags.present(right)
@@ -122,8 +155,8 @@ def fuzzy_scorer(cutoff: int):
                 if once is not None:
                     near &= once
                 r, c = np.nonzero(near)
-                large(texts, best, rows[r], cols[c], overlap[r, c])
-        small(texts, best, waiting)
+                large(texts, best, groups, rows[r], cols[c], overlap[r, c])
+        small(texts, best, groups, waiting)
 
     return score
 
@@ -186,15 +219,39 @@ def signatures(items: DataFrame, cutoff: int, two_sided: bool) -> DataFrame:
 # --- joins ----------------------------------------------------------------------------------------
 
 
+def sorted_forms(keys: DataFrame) -> DataFrame:
+    return keys.select("pos", token_sort_form(F.col("key")).alias("form"))
+
+
 def _forms(keys: DataFrame, side: str) -> DataFrame:
-    return keys.select("pos", token_sort_form(F.col("key")).alias("form"), F.lit(side).alias("side"))
+    return sorted_forms(keys).withColumn("side", F.lit(side))
 
 
 def _length_reach(cutoff: int):
     return lambda low, high: (-(-low * cutoff // (200 - cutoff)), high * (200 - cutoff) // cutoff)
 
 
-def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -> DataFrame:
+def _indel_distances(table: pa.Table, pivots: pa.Table) -> np.ndarray:
+    n, k = table.num_rows, pivots.num_rows
+    texts = Texts(table["form"].to_pylist() + pivots["form"].to_pylist())
+    i, j = np.repeat(np.arange(n), k), np.tile(np.arange(n, n + k), n)
+    return (texts.lengths[i] + texts.lengths[j] - 2 * lcs_lengths(texts, i, j)).reshape(n, k)
+
+
+def _allowed(score):
+    return (100.0 - score) / 100.0, np.zeros(1)[0]
+
+
+#: Insertions and deletions between sorted forms; a pair at score s is (100 - s) % of both lengths apart.
+INDEL = Space(
+    measure=_indel_distances,
+    sizes=lambda table: pc.utf8_length(table["form"].combine_chunks()).to_numpy(zero_copy_only=False),
+    allowed=_allowed,
+    grain=64,
+)
+
+
+def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str, meter: Accumulator | None) -> DataFrame:
     if route in ("signatures", "split") and cutoff <= 50:
         raise ValueError("no signature holds at a cutoff of 50")
     sides = items.select(
@@ -207,16 +264,21 @@ def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -
     counts = blocks.band_counts(sides)
     total = sum(n for _, n, _ in counts)
     avg = sum(band * n for band, n, _ in counts) / max(total, 1)
+    # a look is a row of the matrix product, a score one step of 64 letters for each letter of the other text
+    weights = Weights(look=20 + avg / 4, score=20 * (1 + avg / 64) * avg, item_bytes=4 * avg + 64)
+    shape = Shape(k=k, high_b=False, two_sided=two_sided)
     return blocks.score_pairs(
         sides,
         counts,
         _length_reach(cutoff),
         (lambda: signatures(items, cutoff, two_sided)) if cutoff > 50 else None,
         fuzzy_scorer(cutoff),
-        Shape(k=k, high_b=False, two_sided=two_sided, longer_first=not two_sided),
+        replace(shape, longer_first=not two_sided),
         blocks.chunk_rows(total, 4 * avg, items.sparkSession.sparkContext.defaultParallelism),
         mirrored=False,
         route=route,
+        weights=weights,
+        metric=lambda: metric.plan(sides.drop("band"), INDEL, fuzzy_scorer, shape, cutoff, total, weights, meter),
     )
 
 
@@ -225,13 +287,16 @@ def top_k_fuzzy(pairs: DataFrame, k: int) -> DataFrame:
     return blocks.keep_top_k(pairs, k, high_b=False)
 
 
-def fuzzy_self_join(keys: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
-    """``pos_a, pos_b, raw, rank`` over ``key, pos``; the partner always comes later than the item."""
+def fuzzy_self_join(keys: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto", meter: Accumulator | None = None) -> DataFrame:
+    """``pos_a, pos_b, raw, rank`` over ``key, pos``; the partner always comes later than the item.
+
+    ``meter`` adds up the pairs whose common subsequence the metric route works out.
+    """
     items = materialise(_forms(keys, "a"), "forms")
-    return top_k_fuzzy(_pairs(items, cutoff, k, False, route), k)
+    return top_k_fuzzy(_pairs(items, cutoff, k, False, route, meter), k)
 
 
-def fuzzy_join(primary: DataFrame, master: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
+def fuzzy_join(primary: DataFrame, master: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto", meter: Accumulator | None = None) -> DataFrame:
     """``pos_a, pos_b, raw, rank``: the best master keys of every primary key."""
     items = materialise(_forms(primary, "a").unionAll(_forms(master, "b")), "forms")
-    return top_k_fuzzy(_pairs(items, cutoff, k, True, route), k)
+    return top_k_fuzzy(_pairs(items, cutoff, k, True, route, meter), k)

@@ -5,13 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.grams import gram_lists
 from matchloom.functions.lcs import flat_ranges
-from matchloom.functions.text import NGRAM_SIZES, SPLIT_PATTERN
-from matchloom.operators import blocks
-from matchloom.operators.blocks import Best, Groups, Shape
+from matchloom.functions.text import SPLIT_PATTERN
+from matchloom.operators import blocks, metric
+from matchloom.operators.blocks import Best, Groups, Shape, Weights
+from matchloom.operators.metric import Space
 from matchloom.plans.scratch import materialise, materialise_counted
 
 # cosines are compared and ranked at this many decimals, so that summation order cannot decide
@@ -21,6 +24,7 @@ _DENSE_COLUMNS = 4096
 _VOCABULARY_BROADCAST = 1_000_000
 _SALTS = 64
 _KEYS_PER_TASK = 1000
+_ANGLE_CELLS = 1 << 17
 
 
 def idf_corpus(primary: DataFrame, master: DataFrame | None = None) -> DataFrame:
@@ -29,29 +33,32 @@ def idf_corpus(primary: DataFrame, master: DataFrame | None = None) -> DataFrame
     return mine if master is None else mine.unionAll(master.select(F.lit("b").alias("side"), "pos", "key"))
 
 
-def term_counts(corpus: DataFrame, n_keys: int | None = None) -> DataFrame:
-    """``side, pos, gram, tf``. Keys are spread before they are taken apart, so grams need no shuffle."""
+def _gram_lists(batches):
+    for batch in batches:
+        for at, to, grams, tfs in gram_lists(batch["key"].to_pylist()):
+            some = batch.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([some["side"], some["pos"], grams, tfs], names=["side", "pos", "grams", "tfs"])
+
+
+def key_terms(corpus: DataFrame, n_keys: int | None = None) -> DataFrame:
+    """``side, pos, grams, tfs``: the distinct grams of each key and how often it holds them, packed in one row."""
     spark = corpus.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if n_keys is not None:
         n = min(n, max(spark.sparkContext.defaultParallelism, n_keys // _KEYS_PER_TASK))
-    padded, at = F.col("padded"), F.col("at")
+    # keys are spread before they are taken apart, and words are parted where Spark parts them
+    spread = corpus.repartition(n, "side", "pos").select("side", "pos", F.regexp_replace("key", SPLIT_PATTERN, " ").alias("key"))
+    return spread.mapInArrow(_gram_lists, "side string, pos long, grams array<string>, tfs array<int>").filter(F.size("grams") > 0)
 
-    def gram(size: int) -> Column:
-        return F.when(at + (size - 1) <= F.length(padded), F.substr(padded, at, F.lit(size)))
 
-    # the same grams as char_wb_ngrams, as rows: exploding compiles, lambdas do not
-    return (
-        corpus.repartition(n, "side", "pos")
-        .select("side", "pos", F.explode(F.split("key", SPLIT_PATTERN)).alias("word"))
-        .filter("word <> ''")
-        .select("side", "pos", F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"))
-        .select("side", "pos", "padded", F.explode(F.sequence(F.lit(1), F.length("padded") - 1)).alias("at"))
-        .select("side", "pos", F.explode(F.array(*[gram(size) for size in NGRAM_SIZES])).alias("gram"))
-        .filter("gram IS NOT NULL")
-        .groupBy("side", "pos", "gram")
-        .agg(F.count("*").alias("tf"))
-    )
+def _exploded(terms: DataFrame) -> DataFrame:
+    both = F.explode(F.arrays_zip("grams", "tfs")).alias("t")
+    return terms.select("side", "pos", both).select("side", "pos", F.col("t.grams").alias("gram"), F.col("t.tfs").cast("long").alias("tf"))
+
+
+def term_counts(corpus: DataFrame, n_keys: int | None = None) -> DataFrame:
+    """``side, pos, gram, tf``: the same grams as ``char_wb_ngrams``, as rows."""
+    return _exploded(key_terms(corpus, n_keys))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -59,13 +66,23 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(F.count("*").alias("df"))
 
 
+def _numbered(terms: DataFrame) -> tuple[DataFrame, int]:
+    """``gram, df, gram_id``, stored, and their number."""
+    df = terms.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    vocabulary, seen = materialise_counted(df.withColumn("gram_id", F.monotonically_increasing_id()), "vocabulary", grams=F.count(F.lit(1)))
+    return vocabulary, seen["grams"]
+
+
 def tfidf_weights(corpus: DataFrame, n: int | None = None) -> DataFrame:
     """``side, pos, gram, gram_id, tf, df, weight``: smoothed idf, unit length per key. ``n``: size of the corpus."""
     n = corpus.count() if n is None else n
-    counts = materialise(term_counts(corpus, n), "term-counts")
-    numbered = document_frequency(counts).withColumn("gram_id", F.monotonically_increasing_id())
-    vocabulary, seen = materialise_counted(numbered, "vocabulary", grams=F.count(F.lit(1)))
-    if seen["grams"] <= _VOCABULARY_BROADCAST:
+    terms = materialise(key_terms(corpus, n), "key-terms")
+    return _weighted(terms, *_numbered(terms), n)
+
+
+def _weighted(terms: DataFrame, vocabulary: DataFrame, grams: int, n: int) -> DataFrame:
+    counts = _exploded(terms)
+    if grams <= _VOCABULARY_BROADCAST:
         joined = counts.join(F.broadcast(vocabulary), "gram")
     else:
         # a gram may occur in most keys: spread its rows over salted copies of its one vocabulary row
@@ -97,20 +114,70 @@ def prefix_flag(weights: DataFrame, cutoff: int) -> DataFrame:
 def _packed(tables):
     """Lists as raw bytes: Spark then moves each vector as one value instead of element by element."""
 
-    def bytes_of(column: pa.ChunkedArray) -> pa.Array:
-        lists = column.combine_chunks()
-        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int64) * 8
-        values = np.ascontiguousarray(lists.flatten().to_numpy())
-        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-
     for batch in tables:
         table = pa.Table.from_batches([batch])
         for name in ("ids", "weights"):
-            packed = bytes_of(table[name]).cast(pa.binary())
+            lists = batch[name]
+            packed = _bytes_of(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy())
             table = table.set_column(table.column_names.index(name), name, packed)
         yield from table.to_batches()
 
 
+def _vector_builder(known, n: int, cutoff: int | None):
+    """Packed vectors from packed terms, by the broadcast grams, their numbers and documents."""
+
+    def run(batches):
+        grams, ids, df = known.value
+        idf = np.log((1.0 + n) / (df + 1.0)) + 1.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch["grams"]
+            sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            coded = lists.flatten().dictionary_encode()
+            which = pc.index_in(coded.dictionary, value_set=grams).to_numpy()[coded.indices.to_numpy()]
+            raw = batch["tfs"].flatten().to_numpy() * idf[which]
+            norm = np.sqrt(np.add.reduceat(raw * raw, starts))
+            weight = raw / np.repeat(norm, sizes)
+            arrays = [batch["side"], batch["pos"], pa.array(sizes.astype(np.int32)), _bytes_of(ids[which], sizes), _bytes_of(weight, sizes)]
+            names = ["side", "pos", "size", "ids", "weights"]
+            if cutoff is not None:
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((-ids[which], -df[which], owner))
+                rest = np.cumsum((weight * weight)[order])
+                before = (rest - (weight * weight)[order])[starts]
+                ok = np.sqrt(np.maximum(rest - np.repeat(before, sizes), 0.0)) >= cutoff / 100 - 1e-8
+                edges = np.concatenate(([0], np.cumsum(np.add.reduceat(ok.astype(np.int64), starts))))
+                arrays.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids[which][order][ok])))
+                names.append("prefix")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
+
+
+def _bytes_of(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def key_vectors(corpus: DataFrame, n: int, cutoff: int | None = None) -> DataFrame:
+    """``side, pos, size, ids, weights`` of every key with grams; with a cutoff also ``prefix``, see ``prefix_flag``.
+
+    Terms are written once, as one packed row for each key. While the vocabulary is small enough to be known to all
+    tasks, each row becomes a vector where it lies; beyond, terms are joined to the vocabulary as rows.
+    """
+    terms = materialise(key_terms(corpus, n), "key-terms")
+    vocabulary, grams = _numbered(terms)
+    if grams > _VOCABULARY_BROADCAST:
+        weights = _weighted(terms, vocabulary, grams, n)
+        return vectors(weights if cutoff is None else prefix_flag(weights, cutoff))
+    known = vocabulary.toArrow()
+    held = (known["gram"].combine_chunks(), known["gram_id"].to_numpy(), known["df"].to_numpy().astype(np.float64))
+    schema = "side string, pos long, size int, ids binary, weights binary" + ("" if cutoff is None else ", prefix array<long>")
+    return terms.mapInArrow(_vector_builder(corpus.sparkSession.sparkContext.broadcast(held), n, cutoff), schema)
+
+
 def vectors(weights: DataFrame) -> DataFrame:
     """``side, pos, size, ids, weights``: one row per key, with ``prefix`` ids when they are flagged."""
     parts = [F.collect_list(F.struct("gram_id", "weight")).alias("v")]
@@ -236,6 +303,7 @@ def cosine_scorer(cutoff: int):
             rank = groups.precedence(left, right, None)
             for rows, cols, once in blocks.sub_blocks(left, right, rank, _SQUARE, _SQUARE):
                 part = _Rectangle(vec, rows, cols)
+                groups.scored += len(rows) * len(cols)
                 if part.rest:
                     best.raise_floors(rows, cols, part.lower * 100.0, once)
                 near = part.upper() >= least - 1e-8
@@ -254,10 +322,37 @@ def cosine_scorer(cutoff: int):
     return score
 
 
+def _angles(table: pa.Table, pivots: pa.Table) -> np.ndarray:
+    """Angles to the pivots, through one table of the pivots' weights."""
+    pivot_ids = _unpacked(pivots["ids"], np.int64)
+    names, slots = np.unique(pivot_ids, return_inverse=True)
+    weights = np.zeros((len(names) + 1, pivots.num_rows))
+    weights[slots, np.repeat(np.arange(pivots.num_rows), pivots["size"].to_numpy())] = _unpacked(pivots["weights"], np.float64)
+    ids, values, sizes = _unpacked(table["ids"], np.int64), _unpacked(table["weights"], np.float64), table["size"].to_numpy()
+    edges = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
+    out, at = np.zeros((table.num_rows, pivots.num_rows)), 0
+    while at < table.num_rows:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + _ANGLE_CELLS, "right")) - 1)
+        part = slice(edges[at], edges[to])
+        slot = np.minimum(np.searchsorted(names, ids[part]), len(names) - 1)
+        slot = np.where(names[slot] == ids[part], slot, len(names))
+        out[at:to] = np.add.reduceat(weights[slot] * values[part, None], edges[at:to] - edges[at])
+        at = to
+    return np.arccos(np.clip(out, -1.0, 1.0))
+
+
+def _allowed(score):
+    return np.zeros(1)[0], np.arccos(np.clip(score / 100.0 - 10.0**-COSINE_DECIMALS, -1.0, 1.0))
+
+
+#: Angles between vectors; a pair at a cosine of s % is arccos(s / 100) apart.
+ANGLE = Space(measure=_angles, sizes=lambda table: np.zeros(table.num_rows), allowed=_allowed, grain=256)
+
+
 # --- joins ----------------------------------------------------------------------------------------
 
 
-def _pairs(keys: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) -> DataFrame:
+def _pairs(keys: DataFrame, cutoff: int, k: int, two_sided: bool, route: str, meter: Accumulator | None) -> DataFrame:
     spark = keys.sparkSession
     corpus, seen = materialise_counted(
         keys, "corpus", a=F.count_if(F.col("side") == "a"), b=F.count_if(F.col("side") == "b")
@@ -265,23 +360,27 @@ def _pairs(keys: DataFrame, cutoff: int, k: int, two_sided: bool, route: str) ->
     n_a, n_b = seen["a"], seen["b"]
     all_pairs = n_a * n_b if two_sided else n_a * n_a / 2
     flagged = route in ("signatures", "split") or (route == "auto" and all_pairs > blocks.DIRECT_PAIRS)
-    weights = tfidf_weights(corpus, n_a + n_b)
-    if flagged:
-        weights = prefix_flag(weights, cutoff)
-    items, got = materialise_counted(vectors(weights), "vectors", n=F.count(F.lit(1)), grams=F.avg("size"))
+    packed = key_vectors(corpus, n_a + n_b, cutoff if flagged else None)
+    items, got = materialise_counted(packed, "vectors", n=F.count(F.lit(1)), grams=F.avg("size"))
     is_left = F.col("side") == "a"
     is_right = F.col("side") == "b" if two_sided else F.lit(True)
     payload = (is_left.alias("is_left"), is_right.alias("is_right"), "size", "ids", "weights")
+    grams = got["grams"] or 0.0
+    # a look is a row of the dense product, a score the grams beyond it
+    weights_of = Weights(look=min(grams * 4, _DENSE_COLUMNS) / 4, score=2 * grams, item_bytes=16 * grams + 32)
+    shape = Shape(k=k, high_b=True, two_sided=two_sided)
     return blocks.score_pairs(
         items.select("pos", F.lit(0).cast("long").alias("band"), *payload),
         [(0, got["n"], min(n_a, got["n"]))],
         lambda low, high: (low, high),
         (lambda: items.select(F.explode("prefix").alias("sig"), "pos", *payload)) if flagged else None,
         cosine_scorer(cutoff),
-        Shape(k=k, high_b=True, two_sided=two_sided),
-        blocks.chunk_rows(got["n"], 16 * (got["grams"] or 0), spark.sparkContext.defaultParallelism),
+        shape,
+        blocks.chunk_rows(got["n"], 16 * grams, spark.sparkContext.defaultParallelism),
         mirrored=not two_sided,
         route=route,
+        weights=weights_of,
+        metric=lambda: metric.plan(items.select("pos", *payload), ANGLE, cosine_scorer, shape, cutoff, got["n"], weights_of, meter),
     )
 
 
@@ -290,11 +389,14 @@ def top_k_tfidf(pairs: DataFrame, k: int) -> DataFrame:
     return blocks.keep_top_k(pairs, k, high_b=True)
 
 
-def tfidf_self_join(keys: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
-    """``pos_a, pos_b, raw, rank`` over ``key, pos``; the partner always comes later than the item."""
-    return top_k_tfidf(_pairs(idf_corpus(keys), cutoff, k, False, route), k)
+def tfidf_self_join(keys: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto", meter: Accumulator | None = None) -> DataFrame:
+    """``pos_a, pos_b, raw, rank`` over ``key, pos``; the partner always comes later than the item.
+
+    ``meter`` adds up the pairs whose product the metric route takes.
+    """
+    return top_k_tfidf(_pairs(idf_corpus(keys), cutoff, k, False, route, meter), k)
 
 
-def tfidf_join(primary: DataFrame, master: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto") -> DataFrame:
+def tfidf_join(primary: DataFrame, master: DataFrame, cutoff: int = 85, k: int = 5, route: str = "auto", meter: Accumulator | None = None) -> DataFrame:
     """``pos_a, pos_b, raw, rank``: the best master keys of every primary key."""
-    return top_k_tfidf(_pairs(idf_corpus(primary, master), cutoff, k, True, route), k)
+    return top_k_tfidf(_pairs(idf_corpus(primary, master), cutoff, k, True, route, meter), k)

@@ -271,15 +271,20 @@ SELECT match_id, field, p_col, m_col, val_a, val_b, round(ratio, 9) AS field_sco
 FROM field_rows JOIN t USING (val_a, val_b) JOIN scored ON scored.id = t.id""",
     "fuzzy_dedupe": f"WITH {PART}, {fuzzy('p', None, 85, 5)} {SCORED}",
     "fuzzy_dedupe_by_signatures": f"WITH {PART3}, {fuzzy('p', None, 90, 3)} {SCORED}",
+    "fuzzy_dedupe_by_pivots": f"WITH {PART3}, {fuzzy('p', None, 85, 5)} {SCORED}",
     "fuzzy_master": f"WITH {PART_TYPE}, {MASTER_KEYS}, {fuzzy('p', 'm', 85, 5)} {SCORED}",
+    "fuzzy_master_indexed": f"WITH {PART_TYPE}, {MASTER_KEYS}, {fuzzy('p', 'm', 85, 5)} {SCORED}",
+    "fuzzy_master_by_pivots": f"WITH {PART_TYPE}, {MASTER_KEYS}, {fuzzy('p', 'm', 85, 5)} {SCORED}",
     "fuzzy_customers_to_suppliers": f"WITH {CUSTOMER}, {SUPPLIER}, {fuzzy('c', 's', 60, 10)} {SCORED}",
     "top_k_fuzzy": f"WITH {PART}, {fuzzy('p', None, 50, 1)} {SCORED}",
     "fuzzy_customers": f"WITH {CUSTOMER}, {fuzzy('c', None, 85, 20)} {SCORED}",
     "idf_corpus": f"WITH {PART_TYPE}, {MASTER_KEYS} SELECT key, count(*) AS n FROM (SELECT key FROM p UNION ALL SELECT key FROM m) GROUP BY key",
     "document_frequency": f"WITH {PART_TYPE}, {MASTER_KEYS}, corpus AS (SELECT 'a' AS side, pos, key FROM p UNION ALL SELECT 'b', pos, key FROM m), {grams('corpus')} SELECT gram, df FROM dfs",
     "tfidf_dedupe": f"WITH {PART3}, {tfidf('p', None, 85, 5)} {SCORED}",
+    "tfidf_dedupe_by_pivots": f"WITH {PART3}, {tfidf('p', None, 85, 5)} {SCORED}",
     "tfidf_dedupe_by_signatures": f"WITH {PART3}, {tfidf('p', None, 70, 3)} {SCORED}",
     "tfidf_master": f"WITH {PART_TYPE}, {MASTER_KEYS}, {tfidf('p', 'm', 60, 5)} {SCORED}",
+    "tfidf_master_by_pivots": f"WITH {PART_TYPE}, {MASTER_KEYS}, {tfidf('p', 'm', 60, 5)} {SCORED}",
     "top_k_tfidf": f"WITH {PART}, {tfidf('p', None, 50, 1)} {SCORED}",
     "near_duplicate_docs": f"WITH {DOCS}, {tfidf('d', None, 85, 5)} {SCORED}",
     "attach_rows": f"WITH {PART}, {fuzzy('p', None, 85, 3)}, {numbered('p', 'p_rows', ('p_name',), ('p_name',))} SELECT pos_a, pos_b, rank, {PREFIXED} FROM found",

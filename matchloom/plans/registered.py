@@ -22,7 +22,7 @@ from matchloom.functions.text import (
     score_band,
     token_sort_form,
 )
-from matchloom.operators import fuzzy, keys, matches, report, review, tfidf
+from matchloom.operators import fuzzy, keys, master, matches, report, review, tfidf
 from matchloom.plans import jobs
 from matchloom.plans.scratch import materialise, scratch_path
 from matchloom.plans.ship import ship
@@ -357,6 +357,23 @@ def fuzzy_dedupe_by_signatures(spark, sf_dir):
     return scored(fuzzy.fuzzy_self_join(part_keys(spark, sf_dir, (*PART_COLS, "p_type")), 90, 3, "signatures"))
 
 
+@query
+def fuzzy_dedupe_by_pivots(spark, sf_dir):
+    return scored(fuzzy.fuzzy_self_join(part_keys(spark, sf_dir, (*PART_COLS, "p_type")), 85, 5, "metric"))
+
+
+@query
+def fuzzy_master_by_pivots(spark, sf_dir):
+    return scored(fuzzy.fuzzy_join(part_keys(spark, sf_dir, ("p_name", "p_type")), master_keys(spark, sf_dir), 85, 5, "metric"))
+
+
+@query
+def fuzzy_master_indexed(spark, sf_dir):
+    """The master is stored by the blocks of its pivots, once; only the primary side moves."""
+    index = master.build_master_index(master_keys(spark, sf_dir))
+    return scored(master.map_to_index(part_keys(spark, sf_dir, ("p_name", "p_type")), index, 85, 5))
+
+
 @query
 def fuzzy_master(spark, sf_dir):
     return scored(fuzzy.fuzzy_join(part_keys(spark, sf_dir, ("p_name", "p_type")), master_keys(spark, sf_dir), 85, 5))
@@ -403,6 +420,16 @@ def tfidf_dedupe_by_signatures(spark, sf_dir):
     return scored(tfidf.tfidf_self_join(part_keys(spark, sf_dir, (*PART_COLS, "p_type")), 70, 3, "signatures"))
 
 
+@query
+def tfidf_dedupe_by_pivots(spark, sf_dir):
+    return scored(tfidf.tfidf_self_join(part_keys(spark, sf_dir, (*PART_COLS, "p_type")), 85, 5, "metric"))
+
+
+@query
+def tfidf_master_by_pivots(spark, sf_dir):
+    return scored(tfidf.tfidf_join(part_keys(spark, sf_dir, ("p_name", "p_type")), master_keys(spark, sf_dir), 60, 5, "metric"))
+
+
 @query
 def tfidf_master(spark, sf_dir):
     return scored(tfidf.tfidf_join(part_keys(spark, sf_dir, ("p_name", "p_type")), master_keys(spark, sf_dir), 60, 5))

@@ -1,4 +1,7 @@
-"""A review session as tables: the matches, an append-only event log, and one row of settings."""
+"""A review session as tables: the matches, an append-only event log, and versions of one row of settings.
+
+Nothing is ever overwritten: a change adds a version of the settings, and the last one counts. So a writer that is
+lost at any point leaves the session as it was before."""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 EVENT_SCHEMA = "session string, seq bigint, ts timestamp, choice string, note string"
 META_SCHEMA = (
     "is_master_mode boolean, col_mappings array<struct<primary:string,master:string>>, "
-    "primary_id string, master_id string, raw_export_path string, finished boolean"
+    "primary_id string, master_id string, raw_export_path string, finished boolean, version bigint"
 )
 
 
@@ -25,6 +28,7 @@ class Session:
     master_id: str
     raw_export_path: str | None
     finished: bool
+    version: int = 0
 
 
 def save_session(
@@ -36,16 +40,15 @@ def save_session(
     master_id: str = "",
     raw_export_path: str | None = None,
 ) -> None:
-    """Start a session: matches, an empty log and the settings row."""
+    """Start a session: matches, an empty log and the first version of the settings."""
     spark = matches.sparkSession
     matches.write.parquet(f"{path}/matches")
     spark.createDataFrame([], EVENT_SCHEMA).write.parquet(f"{path}/events")
-    _save_meta(spark, path, master_mode, mappings, primary_id, master_id, raw_export_path, False)
+    _add_version(spark, path, (master_mode, [tuple(m) for m in mappings], primary_id, master_id, raw_export_path, False, 1), "errorifexists")
 
 
-def _save_meta(spark, path, master_mode, mappings, primary_id, master_id, raw_export_path, finished) -> None:
-    row = (master_mode, [tuple(m) for m in mappings], primary_id, master_id, raw_export_path, finished)
-    spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/session")
+def _add_version(spark: SparkSession, path: str, row: tuple, mode: str) -> None:
+    spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode(mode).parquet(f"{path}/session")
 
 
 def append_events(path: str, events: DataFrame) -> None:
@@ -65,7 +68,10 @@ def load_session(spark: SparkSession, path: str) -> Session:
             F.coalesce("master_id", F.lit("")).alias("master_id"),
             "raw_export_path",
             F.coalesce("finished", F.lit(False)).alias("finished"),
+            F.coalesce("version", F.lit(0)).alias("version"),
         )
+        # two writers may have added the same version: a finished one counts
+        .orderBy(F.desc("version"), F.desc("finished"))
         .first()
     )
     return Session(
@@ -77,12 +83,12 @@ def load_session(spark: SparkSession, path: str) -> Session:
         master_id=meta["master_id"],
         raw_export_path=meta["raw_export_path"],
         finished=meta["finished"],
+        version=meta["version"],
     )
 
 
 def finish_session(spark: SparkSession, path: str) -> None:
     """Mark a session as done, so that it is not resumed."""
     s = load_session(spark, path)
-    _save_meta(
-        spark, path, s.is_master_mode, s.col_mappings, s.primary_id, s.master_id, s.raw_export_path, True
-    )
+    row = (s.is_master_mode, list(s.col_mappings), s.primary_id, s.master_id, s.raw_export_path, True, s.version + 1)
+    _add_version(spark, path, row, "append")

@@ -13,6 +13,7 @@ from matchloom.operators import fuzzy, tfidf
 from matchloom.operators.blocks import Shape, score_block
 from matchloom.operators.fuzzy import token_sort_ratio
 
+from brute import grams as grams_of
 from brute import lcs
 
 
@@ -147,3 +148,34 @@ def test_fuzzy_block(small_pieces, layout, k, cutoff):
         if 200 * common >= cutoff * total:
             scored.append((i, j, 200 * common / total if total else 100.0))
     assert ranked(got, k) == best_of(scored, k, False)
+
+
+def test_packed_grams_are_those_of_the_definition(monkeypatch):
+    from matchloom.functions import grams
+
+    texts = ["", " ", "a", "ab cd", " lead", "trail ", "a  b", "über straße 日本語", "x" * 50, "a b \U0001f600\U0001f601", "nul\x00l n", "ab cd"] * 3
+    want = [dict(grams_of(t)) for t in texts]
+    for chunk, alphabet in ((1 << 19, 65_534), (3, 65_534), (1 << 19, 5)):
+        monkeypatch.setattr(grams, "_CHUNK_CHARS", chunk)
+        monkeypatch.setattr(grams, "_ALPHABET", alphabet)
+        got = []
+        for _, _, names, times in grams.gram_lists([t.replace(" ", "_") for t in texts]):
+            got += [dict(zip(n, c)) for n, c in zip(names.to_pylist(), times.to_pylist())]
+        assert got == want
+
+
+@pytest.mark.parametrize("cutoff", [60, 85])
+def test_vectors_of_both_paths_are_equal(spark, monkeypatch, cutoff):
+    keys = [f"acme {i % 7} trading {'ltd' * (i % 3)} über{i}" for i in range(60)] + [" ", "a"]
+    corpus = spark.createDataFrame([("a", i, k) for i, k in enumerate(keys)], "side string, pos long, key string")
+
+    def rows():
+        out = {}
+        for r in tfidf.key_vectors(corpus, len(keys), cutoff).collect():
+            ids, weights = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.float64)
+            out[r["pos"]] = sorted((round(w, 9), i in set(r["prefix"])) for i, w in zip(ids, weights))
+        return out
+
+    near = rows()
+    monkeypatch.setattr(tfidf, "_VOCABULARY_BROADCAST", 3)
+    assert rows() == near and len(near) == len(keys) - 1
