@@ -153,13 +153,13 @@ def test_fuzzy_block(small_pieces, layout, k, cutoff):
 def test_packed_grams_are_those_of_the_definition(monkeypatch):
     from matchloom.functions import grams
 
-    texts = ["", " ", "a", "ab cd", " lead", "trail ", "a  b", "über straße 日本語", "x" * 50, "a b \U0001f600\U0001f601", "nul\x00l n", "ab cd"] * 3
+    texts = ["", " ", "a", "ab cd", " lead", "trail ", "a  b", "über straße 日本語", "x" * 50, "a b \U0001f600\U0001f601", "nul\x00l n", "ab cd"] * 3
     want = [dict(grams_of(t)) for t in texts]
     for chunk, alphabet in ((1 << 19, 65_534), (3, 65_534), (1 << 19, 5)):
         monkeypatch.setattr(grams, "_CHUNK_CHARS", chunk)
         monkeypatch.setattr(grams, "_ALPHABET", alphabet)
         got = []
-        for _, _, names, times in grams.gram_lists([t.replace(" ", "_") for t in texts]):
+        for _, _, names, times in grams.gram_lists(texts):
             got += [dict(zip(n, c)) for n, c in zip(names.to_pylist(), times.to_pylist())]
         assert got == want
 
