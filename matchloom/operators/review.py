@@ -17,7 +17,9 @@ from matchloom.operators.matches import project_ids
 from matchloom.plans.scratch import materialise
 
 # events of one part of the log, about: parts are cut by the number of events, not by their numbers
-PART_EVENTS = 65536
+PART_EVENTS, LEAST_EVENTS = 65536, 4096
+# parts whose carries one window may hold
+FLAT_PARTS = 1024
 
 
 def trim_note(note: Column) -> Column:
@@ -35,23 +37,26 @@ def one_session(events: DataFrame, session: str | None = None) -> DataFrame:
     return events
 
 
+def _before(ends: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Add ``b`` and ``f``: the sum of what comes before in ``within``, and its lowest running sum (NULL if nothing does)."""
+    earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("b", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
+    return ends.withColumn("f", F.min(F.col("b") + F.col("low")).over(earlier))
+
+
 def _carried(ends: DataFrame, parts: int) -> DataFrame:
-    """Add to ``session, __part, t, low`` (sum and lowest running sum) what comes before: ``__before`` and ``__floor``.
+    """``session, __part, __before, __floor`` from ``session, __part, t, low``, the sum and lowest running sum of parts.
 
-    In two levels: within runs of some sqrt(parts) parts, then over the runs, so that no window holds all parts.
+    Many parts are carried in two levels: within runs of some sqrt(parts) parts, then over the runs, so that no window
+    holds all parts of a session.
     """
-    run_of = F.expr(f"__part div {max(1, math.isqrt(parts))}")
-    ends = ends.withColumn("__run", run_of)
-    inside = Window.partitionBy("session", "__run").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("b", F.coalesce(F.sum("t").over(inside), F.lit(0)))
-    ends = ends.withColumn("f", F.min(F.col("b") + F.col("low")).over(inside))
-    runs = ends.groupBy("session", "__run").agg(F.sum("t").alias("t"), F.min(F.col("b") + F.col("low")).alias("low"))
-    over = Window.partitionBy("session").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("rb", F.coalesce(F.sum("t").over(over), F.lit(0)))
-    runs = runs.withColumn("rf", F.min(F.col("rb") + F.col("low")).over(over))
-    both = ends.join(runs.select("session", "__run", "rb", "rf"), ["session", "__run"])
+    if parts <= FLAT_PARTS:
+        return _before(ends, ["session"], "__part").select("session", "__part", F.col("b").alias("__before"), F.col("f").alias("__floor"))
+    inside = _before(ends.withColumn("__run", F.expr(f"__part div {math.isqrt(parts)}")), ["session", "__run"], "__part")
+    runs = inside.groupBy("session", "__run").agg(F.sum("t").alias("t"), F.min(F.col("b") + F.col("low")).alias("low"))
+    runs = _before(runs, ["session"], "__run").select("session", "__run", F.col("b").alias("rb"), F.col("f").alias("rf"))
     # least() passes over NULL: the first run and the first part have nothing before them
-    return both.select(
+    return inside.join(runs, ["session", "__run"]).select(
         "session", "__part", (F.col("rb") + F.col("b")).alias("__before"), F.least("rf", F.col("rb") + F.col("f")).alias("__floor")
     )
 
@@ -64,7 +69,10 @@ def replay_index(events: DataFrame) -> DataFrame:
     parts and carried over between them, so one long session is spread over many tasks.
     """
     step = F.when(F.col("choice") == "U", -1).otherwise(1)
-    parts = max(1, math.ceil(events.count() / PART_EVENTS))
+    n = events.count()
+    cores = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # small logs still use the cores, but not for a handful of events each
+    parts = max(1, math.ceil(n / PART_EVENTS), min(cores, n // LEAST_EVENTS))
     spread = events.withColumn("__step", step).repartitionByRange(parts, "session", "seq").withColumn("__part", F.spark_partition_id())
     inside = Window.partitionBy("session", "__part").orderBy("seq")
     run = spread.withColumn("__sum", F.sum("__step").over(inside))

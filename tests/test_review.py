@@ -71,9 +71,11 @@ def test_replay_against_a_stack(spark, monkeypatch, block):
         assert got.get(name, []) == [(i + 1, c) for i, c in enumerate(stack(choices, 6))], choices
 
 
-def test_replay_of_one_long_sparse_session(spark, monkeypatch):
+@pytest.mark.parametrize("flat", [1, 1024])
+def test_replay_of_one_long_sparse_session(spark, monkeypatch, flat):
     """Parts hold about as many events however far apart their numbers are, and carries go over runs of parts."""
     monkeypatch.setattr(review, "PART_EVENTS", 60)
+    monkeypatch.setattr(review, "FLAT_PARTS", flat)
     rng = random.Random(1)
     choices = "".join(rng.choices("ABFSUU", k=1500))
     events = log(spark, {"s": choices}).withColumn("seq", F.col("seq") * F.col("seq") * 10**9)
