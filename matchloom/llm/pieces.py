@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,6 +172,7 @@ class Encoder:
         stop = "" if feeds else "\n"
         self.cut = None if inner else re.compile(f"{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" + ("" if feeds else "|\n"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def segments(self, text: str | None) -> list[str]:
         if not text:
@@ -179,11 +181,20 @@ class Encoder:
         return self.cut.findall(marked) if self.cut else [marked]
 
     def learn(self, segments: list[str]) -> None:
-        """Encode segments that are not remembered, many at once."""
-        new = list({s for s in segments if s not in self.known})
-        if len(self.known) + len(new) > _CACHE_SEGMENTS:
-            self.known.clear()
-            new = list(set(segments))
+        """Encode segments that are not remembered, many at once.
+
+        What is remembered comes in two generations: when the younger is full it becomes the older, and what is used
+        again moves on, so that frequent segments stay.
+        """
+        if len(self.known) > _CACHE_SEGMENTS:
+            self.known, self.older = {}, self.known
+        new, known, older = [], self.known, self.older
+        for s in set(segments):
+            if s not in known:
+                if s in older:
+                    known[s] = older[s]
+                else:
+                    new.append(s)
         some, held = [], 0
         for s in new:
             some.append(s)
@@ -275,6 +286,28 @@ def decode_ids(ids, pieces: Pieces) -> str:
     return text[1:] if pieces.prefix and text.startswith(" ") else text
 
 
+class Decoder:
+    """Texts of lists of ids: their pieces' bytes, taken one after the other, are the texts."""
+
+    def __init__(self, pieces: Pieces):
+        self.prefix = pieces.prefix
+        known = dict(enumerate(pieces.raw)) if isinstance(pieces.raw, list) else pieces.raw
+        self.table = pa.array([known.get(i, b"") for i in range(max(known, default=-1) + 1)], pa.large_binary())
+
+    def texts(self, lists: pa.ListArray) -> list[str | None]:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        taken = self.table.take(lists.flatten())
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        held = memoryview(taken.buffers()[2]) if len(taken) else memoryview(b"")
+        edges = offsets[np.concatenate(([0], np.cumsum(sizes)))] if len(taken) else np.zeros(len(sizes) + 1, np.int64)
+        valid = lists.is_valid().to_pylist()
+        out: list[str | None] = []
+        for ok, start, stop in zip(valid, edges[:-1].tolist(), edges[1:].tolist()):
+            text = bytes(held[start:stop]).decode("utf-8", "replace") if ok else None
+            out.append(text[1:] if text and self.prefix and text.startswith(" ") else text)
+        return out
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
@@ -302,11 +335,11 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids") -> tuple
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 some = batch.slice(at, _ROWS)
-                # one row's ids at a time: as Python numbers they take ten times the room
-                texts = [decode_ids(ids.values.to_pylist(), shared.value) if ids.is_valid else None for ids in some.column(ids_col)]
+                texts = decoder.texts(some.column(ids_col))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])), out
