@@ -57,7 +57,7 @@ dw AS (
 h AS (SELECT doc_id, item_id, k, p FROM dw JOIN bw USING (k, s)),
 x AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, p + unnest(range(0, k)) AS q FROM h) GROUP BY doc_id),
 y AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  SELECT doc_id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
