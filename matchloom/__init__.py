@@ -1,7 +1,7 @@
 """matchloom: fuzzy record linkage on Spark DataFrames."""
 
 from matchloom.config import ScanConfig, apply_mappings, scan_prefix, validate_config
-from matchloom.plans.jobs import dedupe, map_to_master, resume, review
+from matchloom.plans.jobs import dedupe, map_to_master, resume, review, run_scan
 from matchloom.plans.scratch import clear_scratch, scratch_scope
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "map_to_master",
     "resume",
     "review",
+    "run_scan",
     "scan_prefix",
     "scratch_scope",
     "validate_config",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from matchloom.operators.matches import attach_rows, build_matches, rank_matches
 from matchloom.operators.report import review_summary
 from matchloom.operators.review import decision_records, effective_decisions, in_range, one_session, pending_matches, replay_index
 from matchloom.operators.tfidf import tfidf_join, tfidf_self_join
-from matchloom.plans.scratch import materialise
+from matchloom.plans.scratch import materialise, materialise_counted
 from matchloom.plans.ship import ship
-from matchloom.sources.session import finish_session, load_session
-from matchloom.sources.tables import export_decisions
+from matchloom.sources.session import finish_session, load_session, save_session
+from matchloom.sources.tables import export_decisions, export_matches, scan_settings, stamp
 
 _SELF = {"fuzzy": fuzzy_self_join, "tfidf": tfidf_self_join}
 _TWO_SIDED = {"fuzzy": fuzzy_join, "tfidf": tfidf_join}
@@ -32,7 +33,13 @@ def scan(
     master_order_col: str | None = None,
 ) -> DataFrame:
     """Run one scan; a master table selects the mode. Returns the numbered matches."""
-    cfg = validate_config(df, master, cfg)
+    return _scan(df, validate_config(df, master, cfg), master, order_col, master_order_col)[0]
+
+
+def _scan(
+    df: DataFrame, cfg: ScanConfig, master: DataFrame | None, order_col: str | None, master_order_col: str | None
+) -> tuple[DataFrame, int, int]:
+    """The matches, and the numbers of distinct keys on both sides (0 without a master)."""
     ship(df.sparkSession)
     sample = SAMPLE_ROWS if cfg.sample else None
     mine = _Side(df, cfg.primary_cols, order_col, sample)
@@ -48,7 +55,47 @@ def scan(
         lookup_a = lookup_b = mine.rows(wanted_a.unionAll(wanted_b))
     else:
         lookup_a, lookup_b = mine.rows(wanted_a), theirs.rows(wanted_b)
-    return rank_matches(build_matches(attach_rows(pairs, lookup_a, lookup_b), cfg.primary_cols, cols_b))
+    matches = rank_matches(build_matches(attach_rows(pairs, lookup_a, lookup_b), cfg.primary_cols, cols_b))
+    return matches, mine.n, 0 if master is None else theirs.n
+
+
+@dataclass(frozen=True)
+class ScanProducts:
+    """What a scan leaves: its matches and metrics, and the paths of its settings, raw matches and review session."""
+
+    matches: DataFrame
+    metrics: DataFrame
+    settings: str
+    export: str
+    session: str
+
+
+def run_scan(
+    df: DataFrame,
+    cfg: ScanConfig,
+    folder: str,
+    master: DataFrame | None = None,
+    order_col: str | None = None,
+    master_order_col: str | None = None,
+    stem: str = "table",
+    fmt: str = "csv",
+    now: datetime | None = None,
+) -> ScanProducts:
+    """Run one scan and leave its products in a folder: settings, all matches, and a session to be reviewed.
+
+    The metrics are counted while keys and matches are written; nothing is joined or read a second time.
+    """
+    cfg = validate_config(df, master, cfg)
+    spark, mode, now = df.sparkSession, master is not None, now or datetime.now()
+    settings = f"{folder}/Settings_{stem}_{stamp(now)}"
+    scan_settings(spark, cfg, mode).coalesce(1).write.parquet(settings)
+    found, n_primary, n_master = _scan(df, cfg, master, order_col, master_order_col)
+    matches, seen = materialise_counted(found, "matches", n=F.count(F.lit(1)))
+    export = export_matches(matches, folder, stem, mode, fmt, now)
+    session = f"{folder}/Session_{stem}_{stamp(now)}"
+    save_session(session, matches, mode, cfg.mappings, cfg.primary_id, cfg.master_id, export)
+    metrics = spark.createDataFrame([(n_primary, n_master, seen["n"])], "unique_primary long, unique_master long, n_matches long")
+    return ScanProducts(matches, metrics, settings, export, session)
 
 
 class _Side:
@@ -62,7 +109,8 @@ class _Side:
         if self.fixed:
             check_row_order(self.ordered)
         source = keyed(df, cols, order_col, sample)
-        self.stored = materialise((key_spans if self.fixed else catalogue)(source), "keys")
+        self.stored, seen = materialise_counted((key_spans if self.fixed else catalogue)(source), "keys", n=F.count(F.lit(1)))
+        self.n: int = seen["n"]
 
     def keys(self) -> DataFrame:
         return self.stored.select("key", "pos")

@@ -298,6 +298,10 @@ FROM part LEFT JOIN records ON CAST(p_partkey AS VARCHAR) = "Primary_ID" """,
     "histogram_scale": f"WITH {FOUND}, {HISTOGRAM} SELECT bucket, n, n::DOUBLE / greatest(max(n) OVER (), 1)::DOUBLE AS share FROM hist",
     "rank_matches": f"WITH {FOUND} SELECT match_id, score, pos_a, pos_b, rank FROM found",
     "scan_metrics": f"WITH {PART_TYPE}, {MASTER_KEYS}, {fuzzy('p', 'm', 85, 5)} SELECT (SELECT count(*) FROM p) AS unique_primary, (SELECT count(*) FROM m) AS unique_master, (SELECT count(*) FROM pairs) AS n_matches",
+    "scan_products": f"""WITH {PART_TYPE}, {MASTER_KEYS}, {fuzzy('p', 'm', 85, 5)}
+SELECT (SELECT count(*) FROM p) AS unique_primary, (SELECT count(*) FROM m) AS unique_master, (SELECT count(*) FROM pairs) AS n_matches,
+  (SELECT count(*) FROM pairs) AS n_exported, (SELECT count(*) FROM (SELECT score FROM ({SCORED}) WHERE score = 100)) AS n_equal,
+  (SELECT count(*) FROM pairs) AS n_in_session, 'master' AS mode, 85 AS cutoff""",
     "review_summary": f"""WITH {REVIEWED} SELECT count(*) FILTER (choice IN ('A', 'B')) AS approved, count(*) FILTER (choice = 'F') AS flagged,
   count(*) FILTER (choice = 'S') AS skipped, (SELECT count(*) FROM found) - count(*) AS remaining FROM decided""",
     "review_eta": f"""WITH {FOUND}, {log(True)}, {cut('(SELECT count(*) FROM found)')},

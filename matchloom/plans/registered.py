@@ -507,6 +507,20 @@ def scan_metrics(spark, sf_dir):
     return report.scan_metrics(a, b, fuzzy.fuzzy_join(a, b, 85, 5))
 
 
+@query
+def scan_products(spark, sf_dir):
+    """The metrics of a scan beside what its settings, its exported file and its session hold when read back."""
+    cfg = ScanConfig(primary_cols=("p_name", "p_type"), master_cols=("m_name", "m_type"), primary_id="p_partkey", master_id="m_id", file="part.parquet")
+    folder = scratch_path(spark, "scan")
+    made = jobs.run_scan(parts(spark, sf_dir), cfg, folder, master_parts(spark, sf_dir), "p_partkey", "m_id", "parts")
+    exported = tables.read_table(spark, made.export)
+    seen = exported.agg(F.count("*").alias("n_exported"), F.count_if(F.col("Score (%)") == 100).alias("n_equal")).first()
+    setting = spark.read.parquet(made.settings).first()
+    back = {**seen.asDict(), "n_in_session": session.load_session(spark, made.session).matches.count()}
+    counts = [F.lit(value).cast("long").alias(name) for name, value in back.items()]
+    return made.metrics.select("*", *counts, F.lit(setting["mode"]).alias("mode"), F.lit(setting["cutoff"]).alias("cutoff"))
+
+
 @query
 def review_summary(spark, sf_dir):
     return reviewed(spark, sf_dir)[1].summary

@@ -199,3 +199,41 @@ def test_finished_session(spark, tmp_path):
     matchloom.review(s.matches, events, False, session_path=path)
     with pytest.raises(ValueError, match="finished"):
         matchloom.resume(spark, path)
+
+
+def test_scan_leaves_its_products(spark, tmp_path):
+    from datetime import datetime
+
+    from matchloom import run_scan
+    from matchloom.config import ScanConfig
+    from matchloom.sources import session, tables
+
+    rows = [(1, "acme steel"), (2, "acme steel "), (3, "acme steal"), (4, "other")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    made = run_scan(df, ScanConfig(primary_cols=("name",), primary_id="id", engine="fuzzy", cutoff=80), str(tmp_path), order_col="id", stem="firms", now=datetime(2024, 5, 6, 7, 8, 9))
+    assert tuple(made.metrics.first()) == (3, 0, 1)
+    assert made.export.endswith("/Dedupe_Scan_firms_20240506_070809") and tables.read_table(spark, made.export).count() == 1
+    kept = session.load_session(spark, made.session)
+    assert (kept.primary_id, kept.raw_export_path, kept.finished, kept.version) == ("id", made.export, False, 1)
+    assert kept.matches.collect() == made.matches.collect()
+    assert spark.read.parquet(made.settings).first()["cutoff"] == 80
+    session.finish_session(spark, made.session)
+    again = session.load_session(spark, made.session)
+    assert again.finished and again.version == 2 and spark.read.parquet(f"{made.session}/session").count() == 2
+
+
+def test_lost_writer_leaves_the_session(spark, tmp_path, monkeypatch):
+    """Settings are only ever added: a writer that fails between its steps loses nothing."""
+    from matchloom.sources import session
+
+    df = spark.createDataFrame([(1, 90.0)], "match_id long, score double")
+    session.save_session(f"{tmp_path}/s", df, primary_id="id")
+
+    def lost(spark, path, row, mode):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(session, "_add_version", lost)
+    with pytest.raises(RuntimeError):
+        session.finish_session(spark, f"{tmp_path}/s")
+    kept = session.load_session(spark, f"{tmp_path}/s")
+    assert (kept.primary_id, kept.finished) == ("id", False) and kept.matches.count() == 1
