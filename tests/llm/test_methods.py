@@ -24,7 +24,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_registered():
     names = {n.split("_")[0] for n in entry_points.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry_points.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry_points.queries()
 
 
 @pytest.mark.parametrize("name", ["op2_substring_dedup", "op5_minhash_near_dedup", "op6_decontamination", "op9_chat_formatting"])
@@ -38,6 +38,17 @@ def test_against_duckdb(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_spelling_variants", "op13_exact_dedup"])
+def test_rows_against_duckdb(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    asked = con.execute(entry_points.oracle_sql()[name])
+    names = [c[0] for c in asked.description]
+    got = entry_points.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=str) == sorted(asked.fetchall(), key=str)
+
+
 def test_rolling_hashes():
     h = WordHashes().of([b"a", b"b", b"c", b"a", b"b"])
     r = rolling(h, 2)
