@@ -6,11 +6,13 @@ pair's probability is interpolated with the word's, and the word's with the unif
 loss is its negative log probability; a document's score is the mean over its tokens of target loss minus background
 loss, so that lower means closer to the target.
 
-Tasks count the pairs of some hundred thousand words at a time, target and background in two columns, and Spark sums
-them by pair; a word's count and its count as a history are sums over its pairs. Each pair has one loss in each model:
-documents send each distinct pair once, meet the losses by pair and sum by document. Counts grow with the corpus and
-are never whole in one place; only two totals and the size of the vocabulary pass the driver. Hot pairs and words are
-split by the session's skew joins, as both sides of those joins are stored.
+One pass counts words, as words and as last words of a text, and Spark sums them; only totals, the size of the vocabulary
+and the at most ``1 / HOT_SHARE`` hot words pass the driver. A second pass cuts the documents into blocks of some million
+words and sends each bucket of words its share of each block as one packed row: the pairs that end in these words, the
+documents of each pair, and how often. So all pairs of a word meet in one group, which knows the counts of pairs, words
+and histories and returns one pair of sums for each of its documents; a last group for each block adds them up. Pairs
+that end in a hot word are dealt by pair, and its counts are told to all. Documents that are both counted and scored
+travel once.
 
 Null and empty texts have no tokens and score 0. Pairs that were not counted have the loss of a new pair of their words.
 Without target documents all losses are those of the uniform distribution. Repeated rows count as often as they occur.
@@ -23,133 +25,291 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.tables import col, fresh, small
-from matchloom.llm.words import WordHashes, blank_words_lower
+from matchloom.llm.words import WordHashes, blank_words_lower, mix
 from matchloom.plans.scratch import materialise, materialise_counted
 
-_FLUSH_WORDS = 400_000
+#: A block ends at so many words or documents; places of documents in a block take two bytes.
+_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 20, 1 << 16
+_BUCKET_WORDS = 3 << 20
+#: Words with more than this share of all tokens.
+HOT_SHARE = 1 / 2000
 #: Weight of the word model against a pair's history, and of the uniform model against the word model.
 PAIR_WEIGHT, WORD_WEIGHT = 4.0, 0.5
-_PAIR = np.dtype([("before", np.uint64), ("word", np.uint64)])
+_K = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = ("t", "b", "last_t", "last_b")
+_PACKED = ("targets", "words", "word_pairs", "pairs", "pair_texts", "texts", "times", "last", "keys", "tokens", "sums")
+_BLOCK_SCHEMA = "bucket int, block long, counted boolean, asked boolean, " + ", ".join(f"{c} binary" for c in _PACKED)
+_PART_SCHEMA = "block long, keys binary, tokens binary, texts binary, sums binary"
 
 
-def pairs_of(hashes: np.ndarray) -> np.ndarray:
-    """Each token with the token before it, 0 at the start."""
-    out = np.empty(len(hashes), _PAIR)
-    out["word"] = hashes
-    out["before"][:1] = 0
-    out["before"][1:] = hashes[:-1]
-    return out
-
-
-def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs, the place of each given pair among them, and where the sorted order begins anew."""
-    order = np.lexsort((pairs["word"], pairs["before"]))
-    some = pairs[order]
-    new = np.ones(len(some), bool)
-    new[1:] = some[1:] != some[:-1]
-    return some[new], order, np.flatnonzero(new)
+def _texts(batches: Iterator[pa.RecordBatch], words: int, texts: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """First columns and word hashes of the texts that have words, some at a time."""
+    seen = WordHashes()
+    firsts, keys, hashes, held = [], [], [], 0
+    for batch in batches:
+        for first, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            h = seen.of(blank_words_lower(text))
+            if len(h):
+                firsts.append(first)
+                keys.append(key)
+                hashes.append(h)
+                held += len(h)
+            if held >= words or len(hashes) >= texts:
+                yield firsts, keys, hashes
+                firsts, keys, hashes, held = [], [], [], 0
+    if hashes:
+        yield firsts, keys, hashes
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
-    waiting: list[np.ndarray] = []
-    sides: list[np.ndarray] = []
-    held = 0
-
-    def counted() -> pa.RecordBatch:
-        keys, order, starts = _distinct(np.concatenate(waiting))
-        side = np.concatenate(sides)[order]
-        n = [np.add.reduceat(x.astype(np.int64), starts) for x in (side, np.ones(len(side)))]
-        waiting.clear()
-        sides.clear()
-        columns = [np.ascontiguousarray(keys[c]).view(np.int64) for c in ("before", "word")]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *n)], names=["before", "word", "t", "b"])
-
-    for batch in batches:
-        for target, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes = seen.of(blank_words_lower(text))
-            if len(hashes):
-                waiting.append(pairs_of(hashes))
-                sides.append(np.full(len(hashes), bool(target)))
-                held += len(hashes)
-            if held >= _FLUSH_WORDS:
-                yield counted()
-                held = 0
-    if waiting:
-        yield counted()
-
-
-def _pairs_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct pairs and their counts; ``rows`` is 1 on its first pair."""
-    seen = WordHashes()
-    for batch in batches:
-        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes = seen.of(blank_words_lower(text))
-            if not len(hashes):
-                continue
-            pairs, _, starts = _distinct(pairs_of(hashes))
-            n = np.diff(np.append(starts, len(hashes)))
-            rows = np.zeros(len(n), np.int64)
-            rows[0] = 1
-            columns = [np.ascontiguousarray(pairs[c]).view(np.int64) for c in ("before", "word")]
-            names = ["key", "before", "word", "n", "rows"]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(n), pa.binary()), *(pa.array(c) for c in (*columns, n, rows))], names=names)
+    for targets, _, hashes in _texts(batches, _BLOCK_WORDS, _BLOCK_TEXTS):
+        sizes = np.array([len(h) for h in hashes])
+        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        target = np.array(targets, bool)
+        last = place[np.cumsum(sizes) - 1]
+        count = lambda at, keep=None: np.bincount(at if keep is None else at[keep], minlength=len(words))
+        counts = (count(place, np.repeat(target, sizes)), count(place), count(last, target), count(last))
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, counts)], names=["word", *_COUNTS])
 
 
 @dataclass(frozen=True)
 class Models:
-    pairs: DataFrame  # before, word, t, b: counts of the target and of the background
-    words: DataFrame  # word, t, b
-    histories: DataFrame  # before, t, b
+    """Counts of the target, ``t``, and of all documents, ``b``; pairs are counted where documents are scored."""
+
+    docs: DataFrame  # the documents counted, with `target` and `text_col` as given
+    target: Column
+    text_col: str
+    words: DataFrame  # word, t, b, last_t, last_b: counts as a word, and as the last word of a text
+    hot: dict[str, np.ndarray]  # the same columns of the hot words, by rising unsigned hash
     totals: tuple[float, float]
+    texts: tuple[float, float]
     vocabulary: int
 
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """The distinct ``before, word`` of a table with ``target_loss`` and ``background_loss``."""
-        counts = lambda df, p: df.withColumnsRenamed({"t": f"{p}t", "b": f"{p}b"})
-        met = pairs.join(counts(self.pairs, "p"), ["before", "word"], "left")
-        met = met.join(small(counts(self.words, "w")), "word", "left").join(small(counts(self.histories, "h")), "before", "left")
-        zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        scale = self.totals[0] / self.totals[1] if self.totals[1] and self.totals[0] else 1.0
-        out = []
-        for side, s, total in (("t", 1.0, self.totals[0]), ("b", scale, self.totals[1] * scale)):
-            p_word = (zero(f"w{side}") * s + WORD_WEIGHT) / (total + WORD_WEIGHT * self.vocabulary)
-            p = (zero(f"p{side}") * s + PAIR_WEIGHT * p_word) / (zero(f"h{side}") * s + PAIR_WEIGHT)
-            out.append(-F.log(p))
-        return met.select("before", "word", out[0].alias("target_loss"), out[1].alias("background_loss"))
+    def scales(self) -> tuple[float, float]:
+        return 1.0, self.totals[0] / self.totals[1] if self.totals[1] and self.totals[0] else 1.0
+
+    def log_words(self, side: int, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Logarithm of a pair's smoothed count: what its probability has above the fraction line."""
+        s = self.scales()[side]
+        p_word = (word * s + WORD_WEIGHT) / (self.totals[side] * s + WORD_WEIGHT * self.vocabulary)
+        return np.log(pair * s + PAIR_WEIGHT * p_word)
+
+    def log_history(self, side: int, history: np.ndarray) -> np.ndarray:
+        return np.log(history * self.scales()[side] + PAIR_WEIGHT)
+
+    def told(self) -> Models:
+        """Without the tables: what tasks are told."""
+        return Models(None, None, "", None, self.hot, self.totals, self.texts, self.vocabulary)
+
+
+def _at_hot(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place among the hot words, or -1."""
+    if not len(hot):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    return np.where(hot[at] == words, at, -1)
+
+
+def _raw(values: np.ndarray, kind) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
+def _blocks(models: Models, buckets: int, counted: bool, asked: bool):
+    """Blocks of ``target, key, text``: for each bucket its words, their pairs, and the texts of these; one row for the block itself."""
+    hot = models.hot["word"]
+    starts = [float(models.log_history(side, np.array([models.texts[side]]))[0]) for side in (0, 1)]
+    hot_history = [models.log_history(side, models.hot[c] - models.hot[f"last_{c}"]) for side, c in enumerate("tb")]
+
+    def block(number: int, targets: list, keys: list, hashes: list[np.ndarray]) -> Iterator[dict]:
+        sizes = np.array([len(h) for h in hashes])
+        ends, n_texts = np.cumsum(sizes), len(sizes)
+        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        text = np.repeat(np.arange(n_texts), sizes)
+        before = np.empty(len(place), np.int64)
+        before[1:] = place[:-1]
+        before[ends - sizes] = len(words)
+        common = {"block": number, "counted": counted, "asked": asked, "targets": np.packbits(np.array(targets, bool)).tobytes()}
+        at = _at_hot(hot, words)
+        if asked:
+            history = np.ones(len(place), bool)
+            history[ends - 1] = False
+            known = np.flatnonzero(history & (at >= 0)[place])
+            sums = [s + np.bincount(text[known], h[at[place[known]]], n_texts) for s, h in zip(starts, hot_history)]
+            yield common | {"bucket": number % buckets, "keys": b"".join(keys), "tokens": _raw(sizes, np.int64), "sums": _raw(np.array(sums), np.float64)}
+        code, of_token = np.unique(place * (len(words) + 1) + before, return_inverse=True)
+        word, ahead = code // (len(words) + 1), code % (len(words) + 1)
+        pair = mix(words[word] * _K + np.append(words, np.uint64(0))[ahead])
+        home = (mix(words + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)[word]
+        home = np.where(at[word] >= 0, (pair % np.uint64(buckets)).astype(np.int64), home)
+        posting, times = np.unique(of_token * n_texts + text, return_counts=True)
+        owner, text_of = posting // n_texts, posting % n_texts
+        first = np.searchsorted(owner, np.arange(len(code) + 1))
+        # the last word of a text is no history: where that word is not hot, its group is told
+        last = place[ends - 1]
+        last_home = (mix(words + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)[last]
+        order = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[order], np.arange(buckets + 1))
+        of_home = home[owner]
+        by_home = np.argsort(of_home, kind="stable")
+        cuts = np.searchsorted(of_home[by_home], np.arange(buckets + 1))
+        for b in range(buckets):
+            pairs = order[edges[b] : edges[b + 1]]
+            if not len(pairs):
+                continue
+            here = by_home[cuts[b] : cuts[b + 1]]
+            mine, per_word = np.unique(word[pairs], return_counts=True)
+            ended = np.flatnonzero((last_home == b) & (at[last] < 0))
+            yield common | {
+                "bucket": b,
+                "words": _raw(words[mine], np.uint64),
+                "word_pairs": _raw(per_word, np.uint32),
+                "pairs": _raw(pair[pairs], np.uint64),
+                "pair_texts": _raw((first[1:] - first[:-1])[pairs], np.uint32),
+                "texts": _raw(text_of[here], np.uint16),
+                "times": _raw(times[here], np.uint32),
+                "last": _raw(np.array([ended, np.searchsorted(mine, last[ended])]), np.uint32),
+            }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for at, some in enumerate(_texts(batches, _BLOCK_WORDS, _BLOCK_TEXTS)):
+            number = (part << 32) | (at << 1) | int(counted)
+            rows = [{c: None for c in _PACKED} | row for row in block(number, *some)]
+            kinds = [("bucket", pa.int32()), ("block", pa.int64()), ("counted", pa.bool_()), ("asked", pa.bool_()), *((c, pa.binary()) for c in _PACKED)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+    return run
+
+
+def _sum_bucket(models: Models):
+    """The sums of each block's texts over the pairs that end in the words of one bucket."""
+    hot = models.hot
+
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("block", "keys", "tokens", "texts", "sums")}
+        shares, bits = [], []
+        for row in table.to_pylist():
+            if row["keys"] is not None:
+                for c in out:
+                    out[c].append(row[c])
+            else:
+                shares.append({c: row[c] for c in ("block", "counted", "asked")})
+                bits.append(row)
+        if not shares:
+            return pa.table(_part_columns(out))
+        read = lambda c, kind: [np.frombuffer(row[c], kind) for row in bits]
+        targets = [np.unpackbits(x).astype(bool) for x in read("targets", np.uint8)]
+        offsets = np.cumsum([0] + [len(x) for x in targets])
+        counted = np.repeat([s["counted"] for s in shares], np.diff(offsets))
+        target = np.concatenate(targets) & counted
+        names = read("words", np.uint64)
+        word_offsets = np.cumsum([0] + [len(x) for x in names])
+        words, word_at = np.unique(np.concatenate(names), return_inverse=True)
+        word_of_pair = np.repeat(word_at, np.concatenate(read("word_pairs", np.uint32)))
+        pairs, pair_at = np.unique(np.concatenate(read("pairs", np.uint64)), return_inverse=True)
+        word_of = np.empty(len(pairs), np.int64)
+        word_of[pair_at] = word_of_pair
+        per_pair = np.concatenate(read("pair_texts", np.uint32))
+        at = np.repeat(pair_at, per_pair)
+        places = read("texts", np.uint16)
+        text = np.concatenate(places) + np.repeat(offsets[:-1], [len(x) for x in places])
+        times = np.concatenate(read("times", np.uint32)).astype(np.float64)
+        ended = [x.reshape(2, -1).astype(np.int64) for x in read("last", np.uint32)]
+        last_text = np.concatenate([x[0] + o for x, o in zip(ended, offsets)])
+        last_word = word_at[np.concatenate([x[1] + o for x, o in zip(ended, word_offsets)])]
+        del bits[:], names, places
+        is_hot = _at_hot(hot["word"], words)
+        cold = (is_hot < 0)[word_of][at]
+        sums = []
+        for side, (c, keep) in enumerate((("t", target), ("b", counted))):
+            weight = times * keep[text]
+            in_pair = np.bincount(at, weight, len(pairs))
+            in_word = np.bincount(word_of, in_pair, len(words))
+            history = in_word - np.bincount(last_word, keep[last_text], len(words))
+            if len(hot["word"]):
+                in_word = np.where(is_hot < 0, in_word, hot[c][is_hot])
+            above = models.log_words(side, in_pair, in_word[word_of])
+            below = models.log_history(side, history)
+            loss = times * (np.where(cold, below[word_of][at], 0.0) - above[at])
+            total = np.bincount(text, loss, offsets[-1]) - np.bincount(last_text, below[last_word], offsets[-1])
+            sums.append(total)
+        met = np.bincount(text, minlength=offsets[-1]) > 0
+        for share, low, high in zip(shares, offsets[:-1], offsets[1:]):
+            if share["asked"]:
+                here = np.flatnonzero(met[low:high])
+                out["block"].append(share["block"])
+                out["keys"].append(None)
+                out["tokens"].append(None)
+                out["texts"].append(_raw(here, np.uint16))
+                out["sums"].append(_raw(np.array([s[low:high][here] for s in sums]), np.float64))
+        return pa.table(_part_columns(out))
+
+    return run
+
+
+def _part_columns(out: dict[str, list]) -> dict[str, pa.Array]:
+    return {c: pa.array(x, pa.int64() if c == "block" else pa.binary()) for c, x in out.items()}
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
+    """``key, n_tokens, target_loss, background_loss`` of the texts of one block."""
+    rows = table.to_pylist()
+    head = next(row for row in rows if row["keys"] is not None)
+    tokens = np.frombuffer(head["tokens"], np.int64)
+    sums = np.frombuffer(head["sums"], np.float64).reshape(2, -1).copy()
+    for row in rows:
+        if row["keys"] is None:
+            sums[:, np.frombuffer(row["texts"], np.uint16)] += np.frombuffer(row["sums"], np.float64).reshape(2, -1)
+    keys = [head["keys"][i : i + 16] for i in range(0, len(head["keys"]), 16)]
+    columns = [pa.array(keys, pa.binary()), *map(pa.array, (tokens, *(sums / tokens)))]
+    return pa.table(columns, names=["key", "n_tokens", "target_loss", "background_loss"])
 
 
 def fit(docs: DataFrame, target: Column, text_col: str = "text") -> Models:
     """Count all documents, those where ``target`` is true by themselves; the background is all of them."""
-    rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), col(text_col).alias("text")).filter("text is not null")
-    counted = rows.mapInArrow(_count, "before long, word long, t long, b long")
-    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
-    pairs = materialise(counted.groupBy("before", "word").agg(*sums), "pair-counts")
-    words, seen = materialise_counted(pairs.groupBy("word").agg(*sums), "word-counts", n=F.count(F.lit(1)), t=F.sum("t"), b=F.sum("b"))
-    histories = materialise(pairs.groupBy("before").agg(*sums), "history-counts")
+    rows = _rows(docs, target, text_col).withColumn("key", F.lit(None).cast("binary"))
+    counted = rows.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    sums = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    words, seen = materialise_counted(sums, "word-counts", n=F.count(F.lit(1)), **{c: F.sum(c) for c in _COUNTS})
+    total = {c: float(seen[c] or 0) for c in _COUNTS}
+    hot = words.filter(F.col("b") > total["b"] * HOT_SHARE).toArrow()
+    known = {c: hot[c].to_numpy().astype(np.float64) for c in _COUNTS} | {"word": hot["word"].to_numpy().view(np.uint64)}
+    order = np.argsort(known["word"])
     # one place more for words that were not counted
-    return Models(pairs, words, histories, (float(seen["t"] or 0), float(seen["b"] or 0)), seen["n"] + 1)
+    return Models(docs, target, text_col, words, {c: x[order] for c, x in known.items()}, (total["t"], total["b"]), (total["last_t"], total["last_b"]), seen["n"] + 1)
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(col(text_col).cast("binary")))
+
+
+def _rows(docs: DataFrame, target: Column, text_col: str) -> DataFrame:
+    text = col(text_col)
+    return docs.select(F.coalesce(target, F.lit(False)).alias("target"), _digest(text_col).alias("key"), text.alias("text")).filter("text is not null")
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> tuple[DataFrame, str]:
     """All columns of ``docs`` plus one struct ``n_tokens, target_loss, background_loss, score``; and its name."""
     out, key, found = fresh(docs.columns, "xent", "text_key", "found")
-    digest = F.unhex(F.md5(col(text_col).cast("binary")))
-    texts = docs.select(digest.alias("key"), col(text_col).alias("text")).filter("text is not null")
-    asked = materialise(texts.mapInArrow(_pairs_by_text, "key binary, before long, word long, n long, rows long"), "text-pairs")
-    losses = materialise(models.losses(asked.select("before", "word").distinct()), "pair-losses")
-    n = F.sum("n")
-    # repeated texts meet under one key: means stay, tokens are divided by the repeats
-    means = [(F.sum(F.col(c) * F.col("n")) / n).alias(c) for c in ("target_loss", "background_loss")]
-    done = asked.join(losses, ["before", "word"]).groupBy("key").agg((n / F.sum("rows")).cast("long").alias("n_tokens"), *means)
+    same = docs is models.docs and text_col == models.text_col
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, int(models.totals[1] // _BUCKET_WORDS) + 1)
+    told = models.told()
+    sent = _rows(models.docs, models.target, models.text_col).mapInArrow(_blocks(told, buckets, True, same), _BLOCK_SCHEMA)
+    if not same:
+        sent = sent.unionAll(_rows(docs, F.lit(False), text_col).mapInArrow(_blocks(told, buckets, False, True), _BLOCK_SCHEMA))
+    parts = sent.groupBy("bucket").applyInArrow(_sum_bucket(told), _PART_SCHEMA)
+    texts = parts.groupBy("block").applyInArrow(_sum_block, "key binary, n_tokens long, target_loss double, background_loss double")
+    # repeated texts meet under one key
+    done = texts.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_tokens", "target_loss", "background_loss")])
     fields = F.struct("n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
     done = materialise(done.select(F.col("key").alias(key), fields.alias(found)), "text-losses")
     none = F.struct(F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")])
-    joined = docs.join(small(done), digest == F.col(key), "left")
+    joined = docs.join(small(done), _digest(text_col) == F.col(key), "left")
     return joined.select(*[col(c) for c in docs.columns], F.coalesce(F.col(found), none).alias(out)), out
 
 
@@ -158,6 +318,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good")).distinct()
     rows = docs.select("doc_id", "text")
     marked = rows.join(small(good), F.col("doc_id") == F.col("good"), "left")
-    got, out = score(rows, fit(marked, F.col("good").isNotNull()))
+    got, out = score(marked, fit(marked, F.col("good").isNotNull()))
     x = F.col(out)
     return got.select("doc_id", *[x[n].alias(n) for n in ("n_tokens", "target_loss", "background_loss", "score")])
