@@ -12,7 +12,9 @@ probability of at least 0.64 if its nodes are leaves at once; ``TREES`` trees le
 nodes branch further, a pair at the threshold goes on with one child per level on average, and all trees share the sketch,
 so more is missed: in a simulation of pairs at 0.8, 0.4 % at depth 4, 1.4 % at depth 6 and 9.2 % at depth 12.
 
-A family that the first trees have connected is one component; its nodes in the other trees end where they begin.
+Early in the first trees, nodes that are too large are compared in chunks that all hold the node's first member, which
+connects families. From then on a node whose members are one component ends, and one with few members outside its
+largest component ends too: these few are compared with all members, chunk by chunk.
 Leaves with the same first member meet in one group, so a class's set travels once for all the trees in which it meets
 the same neighbours, and a leaf returns only as many links as connect its members. A node that is still too large at
 the last depth is cut into chunks that all hold its first member; whatever remains outside its largest component is
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.components import components
-from matchloom.llm.tables import col, fresh, parts_for, small
+from matchloom.llm.tables import BROADCAST_ROWS, col, fresh, parts_for, small
 from matchloom.llm.words import WordHashes, blank_words_lower, mix, rolling
 from matchloom.plans.scratch import materialise, materialise_counted
 
@@ -42,6 +44,8 @@ COORDINATES = 64
 TREES = 12
 #: Trees that run before the others, which then pass over what these have connected.
 FIRST_TREES = 2
+#: Depth of the first trees at which members of too large nodes meet the first member of their node.
+HUB_DEPTH = 3
 DEPTH = 12
 LEAF_ROWS = 800
 LEAF_HASHES = 400_000
@@ -196,31 +200,38 @@ class Join:
         level = self.classes.mapInArrow(_roots(trees), "node long, key binary, n long")
         out, rest = None, None
         for depth in range(2, self.depth + 1):
-            stored = materialise(level, "level")
+            stored = self.named(materialise(level, "level"))
+            of_component = stored.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("key").alias("first"))
+            most = F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("most")
+            stats = of_component.groupBy("node").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.min("first").alias("first"), F.count(F.lit(1)).alias("components"), most)
             # a node whose members earlier trees have connected has nothing left to tell
-            stats = self.named(stored).groupBy("node").agg(
-                F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("key").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")
-            )
-            stats = stats.filter("c > 1 AND low != high")
+            stats = stats.filter("components > 1")
             large = (F.col("c") > self.leaf_rows) | (F.col("w") > self.leaf_hashes)
-            met, seen = materialise_counted(
-                stored.join(stats.select("node", "first", large.alias("large")), "node"), "members", large=F.count_if("large")
-            )
-            mine = met.filter("not large").select("node", "key", "n", "first")
+            # few members outside the largest component: they are compared with all at once
+            few = ((F.col("c") - F.col("most.c")) * 2 <= self.leaf_rows) & ((F.col("w") - F.col("most.w")) * 2 <= self.leaf_hashes)
+            stats = stats.select("node", "first", F.col("most.component").alias("main"), (large & ~few).alias("large"), F.when(large, self.chunks()).otherwise(1).alias("chunks"))
+            met, seen = materialise_counted(stored.join(stats, "node"), "members", large=F.count_if("large"))
+            h = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+            at = F.explode(F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(h)))
+            tiled = met.filter("not large AND chunks > 1").withColumn("at", at).withColumn("node", F.xxhash64("node", "at"))
+            mine = met.filter("not large AND chunks = 1").select("node", "key", "n", "first")
+            mine = mine.unionAll(tiled.select("node", "key", "n", F.col("node").cast("string").cast("binary").alias("first")))
             out = mine if out is None else out.unionAll(mine)
             if not seen["large"]:
                 break
             rest = met.filter("large").select("node", "key", "n")
             if depth < self.depth:
-                level = rest.join(self.classes.select("key", "sketch"), "key").select("node", "key", "n", "sketch").mapInArrow(_branch, "node long, key binary, n long")
+                if depth == HUB_DEPTH and self.known is None:
+                    self.hubs(rest)
+                branching = F.broadcast(rest) if seen["large"] <= BROADCAST_ROWS // 2 else rest
+                level = self.classes.select("key", "sketch").join(branching, "key").select("node", "key", "n", "sketch").mapInArrow(_branch, "node long, key binary, n long")
         return out, rest if seen["large"] else None
 
     def named(self, members: DataFrame) -> DataFrame:
         """With the component of each member so far."""
         if self.known is None:
             return members.withColumn("component", F.col("key"))
-        known = self.known.select(F.col("node").alias("key"), "component")
-        return members.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return members.join(self.known, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     def open_nodes(self, members: DataFrame) -> DataFrame:
         """Members of nodes that hold more than one component so far."""
@@ -256,22 +267,34 @@ class Join:
         placed = members.groupBy(bucket, "key").agg(F.collect_set("node").alias("nodes")).join(texts, "key")
         links = placed.groupBy("bucket").applyInArrow(_compare(self.percent), "a binary, b binary")
         if self.known is not None:
-            links = links.unionAll(self.known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.known = components(links)
+            links = links.unionAll(self.known.select(F.col("key").alias("a"), F.col("component").alias("b")))
+        known, seen = materialise_counted(components(links).select(F.col("node").alias("key"), "component"), "known", n=F.count(F.lit(1)))
+        self.known = F.broadcast(known) if seen["n"] <= BROADCAST_ROWS // 2 else known
 
-    def chunked(self, large: DataFrame) -> None:
-        """Nodes that never became small: chunks with a common member first, then what is left against all chunks."""
-        large = materialise(large, "large")
+    def chunks(self) -> Column:
+        """Chunks of half a leaf for ``c`` members with ``w`` hashes."""
+        return F.greatest(F.ceil(F.col("c") * 2 / self.leaf_rows), F.ceil(F.col("w") * 2 / self.leaf_hashes), F.lit(1)).cast("int")
+
+    def sized(self, large: DataFrame) -> DataFrame:
+        """The first member of each node, and how many chunks of half a leaf hold it."""
         stats = large.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("key").alias("first"))
-        size = F.greatest(F.ceil(F.col("c") * 2 / self.leaf_rows), F.ceil(F.col("w") * 2 / self.leaf_hashes), F.lit(1)).cast("int")
-        placed = large.join(stats.select("node", "first", size.alias("chunks")), "node").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        return stats.select("node", "first", self.chunks().alias("chunks"))
+
+    def hubs(self, large: DataFrame) -> None:
+        """Compare too large nodes in chunks that all hold the node's first member: a family becomes one component."""
+        placed = large.join(self.sized(large), "node").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
         spread = placed.withColumn("at", F.explode(F.when(F.col("key") == F.col("first"), everywhere).otherwise(F.array("chunk"))))
         self.compare(spread.select(F.xxhash64("node", "at").alias("node"), "key", "n", F.xxhash64("node", "at").cast("string").cast("binary").alias("first")))
+
+    def chunked(self, large: DataFrame) -> None:
+        """Nodes that never became small: chunks with a common member first, then what is left against all chunks."""
+        large = materialise(large, "large")
+        self.hubs(large)
         open_rows = materialise(self.open_nodes(large), "open")
         per = open_rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
         most = per.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        rows = open_rows.join(most, "node").join(stats.select("node", size.alias("chunks")), "node").withColumn("side", F.col("component") != F.col("main"))
+        rows = open_rows.join(most, "node").join(self.sized(large).select("node", "chunks"), "node").withColumn("side", F.col("component") != F.col("main"))
         others = rows.groupBy("node").agg(F.count_if("side").alias("c"), F.sum(F.when(F.col("side"), F.col("n")).otherwise(0)).alias("w"))
         tiles = F.greatest(F.ceil(F.col("c") * 2 / self.leaf_rows), F.ceil(F.col("w") * 2 / self.leaf_hashes), F.lit(1)).cast("int")
         rows = rows.join(others.select("node", tiles.alias("tiles")), "node")
@@ -308,7 +331,7 @@ def near_duplicates(
             join.chunked(rest)
     names = join.classes.select("key", "doc", F.col("key").alias("group"))
     if join.known is not None:
-        whose = join.known.select(F.col("node").alias("key"), F.col("component").alias("root")).join(names, "key")
+        whose = names.join(join.known.select("key", F.col("component").alias("root")), "key")
         least = whose.groupBy("root").agg(F.min("doc").alias("least"))
         linked = whose.select("key", "root").join(least, "root")
         names = names.join(linked, "key", "left").select("key", F.coalesce("least", "doc").alias("doc"), F.coalesce("root", "key").alias("group"))
