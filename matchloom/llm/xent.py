@@ -35,7 +35,8 @@ from matchloom.plans.scratch import materialise, materialise_counted
 
 #: A block ends at so many words or documents; places of documents in a block take two bytes.
 _BLOCK_WORDS, _BLOCK_TEXTS = 1 << 20, 1 << 16
-_BUCKET_WORDS = 3 << 20
+#: Words of a bucket: a task takes some 150 bytes for each.
+_BUCKET_WORDS = 1 << 20
 #: Words with more than this share of all tokens.
 HOT_SHARE = 1 / 2000
 #: Weight of the word model against a pair's history, and of the uniform model against the word model.
@@ -119,9 +120,17 @@ def _raw(values: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
+def _shares(values: np.ndarray, kind, homes: np.ndarray, used: np.ndarray) -> pa.Array:
+    """Rows of numbers, ordered by bucket, as the bytes of each used bucket; nothing is copied once more."""
+    packed = np.ascontiguousarray(values, kind)
+    edges = np.append(np.searchsorted(homes, used), len(homes)) * (packed.nbytes // max(len(packed), 1))
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(packed)])
+
+
 def _blocks(models: Models, buckets: int, counted: bool, asked: bool):
     """Blocks of ``target, key, text``: for each bucket its words, their pairs, and the texts of these; one row for the block itself."""
     hot = models.hot["word"]
+    kinds = [("bucket", pa.int32()), ("block", pa.int64()), ("counted", pa.bool_()), ("asked", pa.bool_()), *((c, pa.binary()) for c in _PACKED)]
     starts = [float(models.log_history(side, np.array([models.texts[side]]))[0]) for side in (0, 1)]
     hot_history = [models.log_history(side, models.hot[c] - models.hot[f"last_{c}"]) for side, c in enumerate("tb")]
 
@@ -140,48 +149,60 @@ def _blocks(models: Models, buckets: int, counted: bool, asked: bool):
             history[ends - 1] = False
             known = np.flatnonzero(history & (at >= 0)[place])
             sums = [s + np.bincount(text[known], h[at[place[known]]], n_texts) for s, h in zip(starts, hot_history)]
-            yield common | {"bucket": number % buckets, "keys": b"".join(keys), "tokens": _raw(sizes, np.int64), "sums": _raw(np.array(sums), np.float64)}
+            row = common | {"bucket": number % buckets, "keys": b"".join(keys), "tokens": _raw(sizes, np.int64), "sums": _raw(np.array(sums), np.float64)}
+            yield {c: [v] for c, v in row.items()}
+        last = place[ends - 1]
         code, of_token = np.unique(place * (len(words) + 1) + before, return_inverse=True)
+        del place, before
+        posting, times = np.unique(of_token * n_texts + text, return_counts=True)
+        del of_token, text
         word, ahead = code // (len(words) + 1), code % (len(words) + 1)
+        del code
         pair = mix(words[word] * _K + np.append(words, np.uint64(0))[ahead])
-        home = (mix(words + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)[word]
-        home = np.where(at[word] >= 0, (pair % np.uint64(buckets)).astype(np.int64), home)
-        posting, times = np.unique(of_token * n_texts + text, return_counts=True)
-        owner, text_of = posting // n_texts, posting % n_texts
-        first = np.searchsorted(owner, np.arange(len(code) + 1))
-        # the last word of a text is no history: where that word is not hot, its group is told
-        last = place[ends - 1]
-        last_home = (mix(words + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)[last]
-        order = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[order], np.arange(buckets + 1))
+        del ahead
+        word_home = (mix(words + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        home = np.where(at[word] >= 0, (pair % np.uint64(buckets)).astype(np.int64), word_home[word])
+        owner, text_of = posting // n_texts, (posting % n_texts).astype(np.uint16)
+        del posting
+        per_pair = np.bincount(owner, minlength=len(word))
         of_home = home[owner]
+        del owner
         by_home = np.argsort(of_home, kind="stable")
-        cuts = np.searchsorted(of_home[by_home], np.arange(buckets + 1))
-        for b in range(buckets):
-            pairs = order[edges[b] : edges[b + 1]]
-            if not len(pairs):
-                continue
-            here = by_home[cuts[b] : cuts[b + 1]]
-            mine, per_word = np.unique(word[pairs], return_counts=True)
-            ended = np.flatnonzero((last_home == b) & (at[last] < 0))
-            yield common | {
-                "bucket": b,
-                "words": _raw(words[mine], np.uint64),
-                "word_pairs": _raw(per_word, np.uint32),
-                "pairs": _raw(pair[pairs], np.uint64),
-                "pair_texts": _raw((first[1:] - first[:-1])[pairs], np.uint32),
-                "texts": _raw(text_of[here], np.uint16),
-                "times": _raw(times[here], np.uint32),
-                "last": _raw(np.array([ended, np.searchsorted(mine, last[ended])]), np.uint32),
-            }
+        order = np.argsort(home, kind="stable")
+        word, home = word[order], home[order]
+        # one place for each word of a bucket: pairs are ordered by bucket, then by word
+        begins = np.flatnonzero((np.diff(home, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        mine, mine_home = word[begins], home[begins]
+        used = np.unique(home)
+        low = np.searchsorted(mine_home, used)
+        # the last word of a text is no history: where that word is not hot, its group is told
+        ended = np.flatnonzero(at[last] < 0)
+        ended = ended[np.argsort(word_home[last[ended]], kind="stable")]
+        run_of = np.zeros(len(words), np.int64)
+        run_of[mine] = np.arange(len(mine))
+        ended_home = word_home[last[ended]]
+        lasts = np.column_stack((ended, run_of[last[ended]] - low[np.searchsorted(used, ended_home)]))
+        share = lambda values, kind, homes: _shares(values, kind, homes, used)
+        yield {
+            "bucket": pa.array(used.astype(np.int32)),
+            **{c: pa.array([v] * len(used)) for c, v in common.items()},
+            "words": share(words[mine], np.uint64, mine_home),
+            "word_pairs": share(np.diff(np.append(begins, len(word))), np.uint32, mine_home),
+            "pairs": share(pair[order], np.uint64, home),
+            "pair_texts": share(per_pair[order], np.uint32, home),
+            "texts": share(text_of[by_home], np.uint16, of_home[by_home]),
+            "times": share(times[by_home], np.uint32, of_home[by_home]),
+            "last": share(lasts, np.uint32, ended_home),
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for at, some in enumerate(_texts(batches, _BLOCK_WORDS, _BLOCK_TEXTS)):
             number = (part << 32) | (at << 1) | int(counted)
-            rows = [{c: None for c in _PACKED} | row for row in block(number, *some)]
-            kinds = [("bucket", pa.int32()), ("block", pa.int64()), ("counted", pa.bool_()), ("asked", pa.bool_()), *((c, pa.binary()) for c in _PACKED)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+            for columns in block(number, *some):
+                n = len(columns["bucket"])
+                arrays = [pa.array(columns[c], kind) if isinstance(columns.get(c), list) else columns.get(c, pa.nulls(n, kind)) for c, kind in kinds]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in kinds])
 
     return run
 
@@ -219,9 +240,9 @@ def _sum_bucket(models: Models):
         places = read("texts", np.uint16)
         text = np.concatenate(places) + np.repeat(offsets[:-1], [len(x) for x in places])
         times = np.concatenate(read("times", np.uint32)).astype(np.float64)
-        ended = [x.reshape(2, -1).astype(np.int64) for x in read("last", np.uint32)]
-        last_text = np.concatenate([x[0] + o for x, o in zip(ended, offsets)])
-        last_word = word_at[np.concatenate([x[1] + o for x, o in zip(ended, word_offsets)])]
+        ended = [x.reshape(-1, 2).astype(np.int64) for x in read("last", np.uint32)]
+        last_text = np.concatenate([x[:, 0] + o for x, o in zip(ended, offsets)])
+        last_word = word_at[np.concatenate([x[:, 1] + o for x, o in zip(ended, word_offsets)])]
         del bits[:], names, places
         is_hot = _at_hot(hot["word"], words)
         cold = (is_hot < 0)[word_of][at]
