@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -179,3 +180,18 @@ def test_vectors_of_both_paths_are_equal(spark, monkeypatch, cutoff):
     near = rows()
     monkeypatch.setattr(tfidf, "_VOCABULARY_BROADCAST", 3)
     assert rows() == near and len(near) == len(keys) - 1
+
+
+def test_vectors_of_long_keys_are_built_in_parts(spark, keys_of, monkeypatch):
+    """A worker never holds the weights of a whole batch of long texts, and is sent few of these at once."""
+    keys = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)]
+    corpus = tfidf.idf_corpus(keys_of(keys))
+    terms = tfidf.key_terms(corpus).toArrow().combine_chunks().to_batches()[0]
+    grams = sorted({g for row in terms["grams"].to_pylist() for g in row})
+    told = SimpleNamespace(value=(pa.array(grams), np.arange(len(grams)), np.ones(len(grams))))
+    whole = pa.Table.from_batches(tfidf._vector_builder(told, 20, 85)(iter([terms])))
+    monkeypatch.setattr(tfidf, "_GRAMS_AT_ONCE", 500)
+    parts = list(tfidf._vector_builder(told, 20, 85)(iter([terms])))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).equals(whole)
+    _, at_once = tfidf._key_vectors(corpus, 20, None)
+    assert at_once <= 5
