@@ -50,6 +50,8 @@ DEPTH = 12
 LEAF_ROWS = 800
 LEAF_HASHES = 400_000
 _BUCKET_HASHES = 600_000
+#: Texts that go to a worker at once.
+_TEXTS_AT_ONCE = 2000
 _SET_SCHEMA = "doc_id long, mark long, n long, key binary, sketch binary"
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _K)
@@ -190,7 +192,7 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, leaf_rows: int, leaf_hashes: int, depth: int):
         self.k, self.percent, self.leaf_rows, self.leaf_hashes, self.depth = k, percent, leaf_rows, leaf_hashes, depth
         self.docs = docs
-        self.rows = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_sets(k), _SET_SCHEMA), "sets")
+        self.rows = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_sets(k), _SET_SCHEMA), "sets", _TEXTS_AT_ONCE)
         grouped = self.rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         self.classes = materialise(grouped, "classes")
         self.known: DataFrame | None = None
@@ -357,10 +359,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents with empty sets all stay; rows that repeat both id and text are one document.
     """
     rows = near_duplicates(docs, k, percent).filter("kept")
-    best = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("b"))
-    chosen = best.select("b.doc_id", "b.mark").unionAll(rows.filter("group is null").select("doc_id", "mark").distinct())
-    mark, one, two = fresh(docs.columns, "mark", "kept_id", "kept_mark")
-    chosen = chosen.select(F.col("doc_id").alias(one), F.col("mark").alias(two))
+    times, mark, one, two, three = fresh(docs.columns, "times", "mark", "kept_id", "kept_mark", "kept_times")
+    each = rows.groupBy("group", "doc_id", "mark").agg(F.count(F.lit(1)).alias(times))
+    best = each.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark", times)).alias("b"))
+    chosen = best.select("b.*").unionAll(each.filter("group is null").select("doc_id", "mark", times))
+    chosen = chosen.select(F.col("doc_id").alias(one), F.col("mark").alias(two), F.col(times).alias(three))
+    stored, seen = materialise_counted(chosen, "chosen", repeated=F.coalesce(F.count_if(F.col(three) > 1), F.lit(0)))
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
+    kept = marked.join(small(stored), F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)))
+    # only rows that repeat meet once more: texts are long
+    out = kept if not seen["repeated"] else kept.filter(F.col(three) == 1).unionAll(kept.filter(F.col(three) > 1).dropDuplicates(["doc_id", mark]))
+    return out.select(*[col(c) for c in docs.columns])
