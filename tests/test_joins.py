@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
 from conftest import collect_pairs
+from matchloom.functions.lcs import Dense, Texts, lcs_lengths
 from matchloom.operators import blocks
-from matchloom.operators.fuzzy import fuzzy_join, fuzzy_self_join
+from matchloom.operators.fuzzy import fuzzy_join, fuzzy_scorer, fuzzy_self_join
 from matchloom.operators.tfidf import tfidf_join, tfidf_self_join
 
 SELF = {"fuzzy": fuzzy_self_join, "tfidf": tfidf_self_join}
@@ -152,3 +155,45 @@ def test_planning(two_sided):
         if reach(band, band)[0] <= other <= reach(band, band)[1]
     )
     assert blocks.band_cost(counts, reach, two_sided) == expected
+
+
+def test_sides_are_cut_into_chunks_of_their_own():
+    """A thousand left items and ten right ones of one length: ten left chunks, one right one, and nobody is sent twice."""
+    counts, reach = [(18, 1010, 1000)], lambda low, high: (low, high)
+    left, right, n_left, n_right = blocks.side_plans(counts, reach, 100)
+    assert (left, right, n_left, n_right) == ([(18, 0, 10, 0, 0)], [(18, 0, 1, 0, 9)], 10, 1)
+    assert blocks.band_moves(counts, reach, 100, True) == 1000 + 10 * 10
+
+
+@pytest.mark.parametrize("lengths", [(0, 3, 18), (5, 40, 64), (0, 0, 1)])
+def test_dense_lcs_equals_pair_by_pair(lengths):
+    rng = random.Random(sum(lengths))
+    values = ["".join(rng.choices("ab#0é漢", k=rng.choice(lengths))) for _ in range(90)] + ["common#" + str(i) for i in range(150)]
+    texts = Texts(values)
+    rows, cols = np.arange(0, 60), np.arange(40, len(values))
+    assert Dense.fits(texts, rows)
+    got = Dense(texts, rows).table(cols)
+    assert (got == lcs_lengths(texts, np.tile(rows, len(cols)), np.repeat(cols, len(rows))).reshape(len(cols), -1)).all()
+
+
+@pytest.mark.parametrize("high_b", [False, True])
+def test_large_meetings_of_equal_scores(high_b):
+    """Nearly all pairs qualify and most scores tie: all are compared at once, few are listed, positions decide."""
+    rng = random.Random(3)
+    left = [f"customer#{rng.randrange(3000):06d}" + "x" * rng.randrange(3) for _ in range(300)] + ["", "zzz"]
+    right = [f"supplier#{rng.randrange(900):06d}" + "y" * rng.randrange(2) for _ in range(700)] + [""]
+    n, k = len(left), 7
+    pos = np.concatenate((np.arange(n), np.array(rng.sample(range(5000), len(right)))))
+    table = pa.table({"pos": pos, "is_left": np.arange(len(pos)) < n, "is_right": np.arange(len(pos)) >= n, "form": left + right})
+    shape = blocks.Shape(k=k, high_b=high_b, two_sided=True)
+    counted = blocks.Groups(table, shape)
+    best = blocks.Best(table, shape)
+    fuzzy_scorer(55)(table, counted, best)
+    best.compact()
+    texts = Texts(left + right)
+    i, j = np.repeat(np.arange(n), len(right)), np.tile(np.arange(n, len(pos)), n)
+    total = texts.lengths[i] + texts.lengths[j]
+    raw = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs_lengths(texts, i, j)) / np.maximum(total, 1)) * 100.0)
+    keep = raw >= 55
+    expected = blocks.best_per_item(pos[i[keep]], pos[j[keep]], raw[keep], shape)
+    assert [x.tolist() for x in best.kept] == [x.tolist() for x in expected[:3]]
