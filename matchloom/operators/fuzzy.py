@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.lcs import Dense, Texts, flat_ranges, indel_score, lcs_length, lcs_lengths
 from matchloom.functions.text import token_sort_form
-from matchloom.operators import blocks, metric
+from matchloom.operators import blocks, deletions, metric
 from matchloom.operators.blocks import Best, Groups, Shape, Weights
 from matchloom.operators.metric import Space
 from matchloom.plans.scratch import materialise
@@ -330,6 +330,13 @@ INDEL = Space(
 )
 
 
+def _deletions_pay(counts: list[tuple[int, int, int]], cutoff: int, avg: float, weights: Weights) -> bool:
+    """Deletions move little beside what all pairs cost, and can settle most items."""
+    looks = blocks.Cost(blocks.band_cost(counts, _length_reach(cutoff), False) * weights.look, 0.0).seconds()
+    moved = blocks.Cost(0.0, sum((band + 1) * (band + 24) * n for band, n, _ in counts)).seconds()
+    return looks > blocks.DIRECT_SECONDS / 6 and 4 * moved < looks and deletions.settles(counts, cutoff) > 0.5
+
+
 def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str, meter: Accumulator | None) -> DataFrame:
     if route in ("signatures", "split") and cutoff <= 50:
         raise ValueError("no signature holds at a cutoff of 50")
@@ -347,6 +354,13 @@ def _pairs(items: DataFrame, cutoff: int, k: int, two_sided: bool, route: str, m
     whole = 4 + 0.6 * avg if two_sided and max((band for band, _, _ in counts), default=0) <= 64 else None
     weights = Weights(look=20 + avg / 4, score=20 * (1 + avg / 64) * avg, item_bytes=4 * avg + 64, whole=whole)
     shape = Shape(k=k, high_b=False, two_sided=two_sided)
+    if not two_sided and (route == "deletions" or (route == "auto" and _deletions_pay(counts, cutoff, avg, weights))):
+        closed, waiting, n = deletions.near_partners(sides, counts, shape, cutoff)
+        if route == "deletions" or n <= deletions.OPEN_SHARE * total:
+            layout = metric.lay_out(sides.drop("band"), INDEL, total, weights.item_bytes)
+            if not n or not layout.rights:
+                return closed
+            return closed.unionAll(metric.one_round(layout, waiting, INDEL, fuzzy_scorer(cutoff), shape, cutoff, meter))
     return blocks.score_pairs(
         sides,
         counts,

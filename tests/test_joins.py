@@ -9,7 +9,7 @@ import pytest
 import brute
 from conftest import collect_pairs
 from matchloom.functions.lcs import Dense, Texts, lcs_lengths
-from matchloom.operators import blocks
+from matchloom.operators import blocks, deletions
 from matchloom.operators.fuzzy import fuzzy_join, fuzzy_scorer, fuzzy_self_join
 from matchloom.operators.tfidf import tfidf_join, tfidf_self_join
 
@@ -197,3 +197,25 @@ def test_large_meetings_of_equal_scores(high_b):
     keep = raw >= 55
     expected = blocks.best_per_item(pos[i[keep]], pos[j[keep]], raw[keep], shape)
     assert [x.tolist() for x in best.kept] == [x.tolist() for x in expected[:3]]
+
+
+@pytest.mark.parametrize("k", [2, 9])
+def test_deletions_lose_no_pair(spark, k):
+    """Names of one length, of many lengths, with repeated forms and without characters."""
+    rng = random.Random(k)
+    keys = {f"customer#{rng.randrange(400):05d}" for _ in range(220)} | {"b a", "a b", "ab", "a", " ", "  ", "ac", "abc", "b  a"}
+    for some in (sorted(keys), sorted(n for n in keys if n.startswith("customer"))):
+        table = spark.createDataFrame([(key, 3 * pos) for pos, key in enumerate(some)], "key string, pos long")
+        for cutoff in (60, 85, 97):
+            by_deletions, by_bands = (collect_pairs(fuzzy_self_join(table, cutoff, k, route=route)) for route in ("deletions", "bands"))
+            assert by_deletions == by_bands
+
+
+def test_items_settled_by_deletions_go_no_further(spark):
+    """Where all names have one length, those with k near partners are done after one exchange."""
+    names = [f"customer#{i:05d}" for i in range(600)]
+    items = spark.createDataFrame([(i, name, len(name)) for i, name in enumerate(names)], "pos long, form string, band long")
+    shape = blocks.Shape(k=5, high_b=False, two_sided=False)
+    closed, waiting, n = deletions.near_partners(items, [(14, 600, 600)], shape, 85)
+    assert n == waiting.count() < 120
+    assert closed.select("pos_a").distinct().count() == 600 - n
